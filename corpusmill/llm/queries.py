@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, tokenids
+from corpusmill.llm import decontaminate, tiffpages, tokenids, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +23,19 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode_and_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.archive_and_read(_read(spark, sf_dir, "pages"))
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiffpages.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_token_ids": op4_token_ids,
+    "op8_warc_zip": op8_warc_zip,
+    "op9_tiff": op9_tiff,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -51,4 +61,11 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op8_warc_zip": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+        k AS (SELECT digest, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+        SELECT page_id, url, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+        FROM p LEFT JOIN k USING (digest)""",
 }
