@@ -39,6 +39,8 @@ STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 #: About so many documents go to a file.
 DOCS_PER_FILE = 16_384
+#: The files' totals are sent to all executors while there are no more files; beyond, they are joined by file.
+BROADCAST_FILES = 1_000_000
 #: Bytes that are cut and looked up together.
 RUN = 4 << 20
 
@@ -194,6 +196,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(_ROWS_DDL).orc(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    if len(rows.inputFiles()) <= BROADCAST_FILES:
+        before = F.broadcast(before)  # 12 bytes a file
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
