@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, tiffpages, tokenids, warczip
+from corpusmill.llm import decontaminate, mixing, tiffpages, tokenids, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode_and_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.archive_and_read(_read(spark, sf_dir, "pages"))
 
@@ -34,6 +38,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_token_ids": op4_token_ids,
+    "op5_mixing": op5_mixing,
     "op8_warc_zip": op8_warc_zip,
     "op9_tiff": op9_tiff,
 }
@@ -61,6 +66,25 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op5_mixing": r"""
+        WITH d AS (SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS weight,
+                     row_number() OVER (ORDER BY source NULLS LAST) AS idx FROM s),
+        f AS (SELECT *, CAST(3 * source_size AS DOUBLE) / CAST(weight AS DOUBLE) AS filled_at FROM w),
+        l AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY filled_at, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                      / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY filled_at, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM f),
+        v AS (SELECT level FROM l WHERE level <= filled_at ORDER BY filled_at, idx LIMIT 1),
+        t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM v) * CAST(weight AS DOUBLE)) AS target FROM l),
+        q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t),
+        p AS (SELECT doc_id, size, source_size, target,
+                     CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS epochs, take,
+                     CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+              FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(epochs * size + greatest(0, least(b + size, take - epochs * source_size) - b) AS BIGINT) AS taken
+        FROM p""",
     "op8_warc_zip": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
         k AS (SELECT digest, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
