@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, mixing, tiffpages, tokenids, warczip
+from corpusmill.llm import decontaminate, mixing, simhash, tiffpages, tokenids, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_read(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.archive_and_read(_read(spark, sf_dir, "pages"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_token_ids": op4_token_ids,
     "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
     "op8_warc_zip": op8_warc_zip,
     "op9_tiff": op9_tiff,
 }
