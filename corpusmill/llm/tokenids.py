@@ -34,7 +34,7 @@ from corpusmill.scratch import scratch_path
 
 END_ID = 2
 #: Distinct pieces that a worker remembers; beyond them it forgets those not seen since the last time.
-PIECES = 600_000
+PIECES = 400_000
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 #: About so many documents go to a file.
@@ -71,8 +71,8 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max([*vocab.values(), *added, 0]) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, np.ndarray] = {}
-        self.older: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # a piece's ids, as 32-bit integers
+        self.older: dict[bytes, bytes] = {}
 
     def whole_text(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -90,13 +90,13 @@ class Encoder:
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part):
                 for (p, _), own in zip(part, np.split(ids, ends[:-1]), strict=True):
-                    self.known[p] = own.copy()
+                    self.known[p] = own.tobytes()
             else:
                 rest += part
         for (p, _), e in zip(rest, self.tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.int32)
+            self.known[p] = np.array(e.ids, np.int32).tobytes()
 
-    def _ids_of(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
         new = []
         for p in pieces:
             if p not in self.known:
@@ -129,8 +129,8 @@ class Encoder:
         where = np.append(place[starts], len(compact)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(compact)]).dictionary_encode()
         distinct = self._ids_of(pieces.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in distinct], np.int64)
-        flat = np.concatenate(distinct) if distinct else np.empty(0, np.int32)
+        sizes = np.array([len(x) // 4 for x in distinct], np.int64)
+        flat = np.frombuffer(b"".join(distinct), np.int32)
         origin = np.cumsum(sizes) - sizes
         index = pieces.indices.to_numpy(zero_copy_only=False)
         size = sizes[index] if len(index) else np.empty(0, np.int64)
