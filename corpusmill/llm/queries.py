@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontaminate, mixing, simhash, tiffpages, tokenids, warczip
+from corpusmill.llm import decontaminate, langid, mixing, simhash, tiffpages, tokenids, warczip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_read(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.archive_and_read(_read(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_ids": op4_token_ids,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_langid": op7_langid,
     "op8_warc_zip": op8_warc_zip,
     "op9_tiff": op9_tiff,
 }
