@@ -116,7 +116,7 @@ def _streams(sizes: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
     rows = rows.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
     in_bucket = rows.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     before = in_bucket.select("idx", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    order = Window.partitionBy("idx", "bucket").orderBy("hash", "doc_id", "size")
+    order = Window.partitionBy("idx", "bucket").orderBy("hash", "doc_id", "size", *(c for c in sizes.columns if c == "_row"))
     rows = rows.withColumns({"place": F.row_number().over(order), "here": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     return rows.join(before, ["idx", "bucket"]).withColumn("begin", F.col("before") + F.col("here"))
 
@@ -157,8 +157,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     A source's last document may be read in part: its first words, joined by single spaces.
     """
     rows = documents.withColumn("_row", F.monotonically_increasing_id())
-    sizes = materialize(rows.select(F.col("_row").alias("doc_id"), "source", words_in(F.col("text")).alias("size")), "mix-sizes")
-    taken = take(sizes, weights, most).where("taken > 0").select(F.col("doc_id").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    sizes = materialize(rows.select("_row", "doc_id", "source", words_in(F.col("text")).alias("size")), "mix-sizes")
+    taken = take(sizes, weights, most).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     taken = taken.withColumn("_time", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
     taken = taken.withColumn("_words", F.least("_size", F.col("_taken") - F.col("_time") * F.col("_size")))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)), 1, F.col("_words").cast("int")), " ")
