@@ -6,22 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it, in lambdas too."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def ngrams(items: Column, n: int, step: int = 1) -> Column:
     """All runs of n items, every ``step``; none if there are fewer items."""
-    last = F.size(items) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.slice(items, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1, F.lit(step)), lambda i: F.slice(w, i, n))
+    return let(items, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.slice(F.array(w), 1, 0)))
 
 
 def distinct_ratio(items: Column, n: int) -> Column:
     """Distinct runs of n over all; 0 if there is none."""
-    g = ngrams(items, n)
-    return F.coalesce(F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0))
+    return let(ngrams(items, n), lambda g: F.coalesce(F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
 
 
 def repeated_share(items: Column, n: int) -> Column:
     """Share of runs of n that repeat an earlier one; 0 if there is none."""
-    g = ngrams(items, n)
-    return F.coalesce(1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0))
+    return let(ngrams(items, n), lambda g: F.coalesce(1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
 
 
 def repetition_loop(items: Column) -> Column:

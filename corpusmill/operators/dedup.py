@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import arrays
 from corpusmill.functions import text as tx
 from corpusmill.operators import filters
 from corpusmill.scratch import materialize
@@ -77,10 +78,8 @@ def first_by_any_key(df: DataFrame, keys: list[str], order: str, rounds: int = 6
 
 def shingles(text: Column, k: int = 12, stride: int = 3) -> Column:
     """Hashes of the runs of k words whose hash is divisible by ``stride``; none for fewer words."""
-    items = tx.words(F.lower(text))
-    last = F.size(items) - k + 1
-    all_ = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(items, i, k), " "))))
-    return F.coalesce(F.array_distinct(F.filter(all_, lambda h: F.pmod(h, F.lit(stride)) == 0)), F.array().cast("array<bigint>"))
+    hashes = F.transform(arrays.ngrams(tx.words(F.lower(text)), k), lambda g: F.xxhash64(F.array_join(g, " ")))
+    return F.coalesce(F.array_distinct(F.filter(hashes, lambda h: F.pmod(h, F.lit(stride)) == 0)), F.array().cast("array<bigint>"))
 
 
 def near_duplicates(documents: DataFrame, order: str = "doc_id", k: int = 12, stride: int = 3, threshold: float = 0.3, rounds: int = 64) -> DataFrame:

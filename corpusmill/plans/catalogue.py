@@ -1,6 +1,8 @@
-"""Registered queries and their DuckDB equivalents."""
+"""All registered queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusmill.plans import eval_queries, log_queries, relational_queries, source_queries, text_queries  # noqa: F401
+from corpusmill.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
