@@ -14,7 +14,7 @@ def _summary(prefix: str = "") -> list[Column]:
     n, hits = F.count(F.lit(1)), F.sum(F.col("correct_norm").cast("int"))
     low, high = stats.wilson(hits.cast("double"), n)
     chance = F.avg("chance")
-    return [n.alias("n"), (hits / n).alias("acc_norm"), F.avg(F.col("correct").cast("double")).alias("acc"), low.alias("ci_low"), high.alias("ci_high"), chance.alias("chance"), (low > chance).alias("above_chance")]
+    return [n.alias("n"), (hits / n).alias("acc_norm"), F.avg(F.col("correct").cast("double")).alias("acc"), low.alias("ci_low"), high.alias("ci_high"), chance.alias("chance"), (low - chance > 1e-12).alias("above_chance")]
 
 
 def summarise(records: DataFrame, *keys: Column) -> DataFrame:

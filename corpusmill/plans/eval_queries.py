@@ -1 +1,308 @@
+"""Queries on evaluation records, comparisons, calibration, preferences and instruction data."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.functions import arrays, stats
+from corpusmill.operators import evals, sft
+from corpusmill.plans.registry import Tables, query
+
+_RECORDS = """
+    rec AS (SELECT d.doc_id AS id, source AS domain, lang AS level, CASE WHEN d.doc_id % 3 = 0 THEN 'numeric' ELSE 'mcq' END AS type,
+                   CASE WHEN d.doc_id % 4 = 0 THEN 'skill' || d.doc_id % 8 END AS skill, quality = 1 AS correct_norm, toxic = 0 AS correct,
+                   CASE WHEN d.doc_id % 3 = 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS chance
+            FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def records(t: Tables) -> DataFrame:
+    """Labelled documents as evaluation records."""
+    d = t.documents.select("doc_id", "source", "lang").join(t.labels, "doc_id")
+    i = F.col("doc_id")
+    return d.select(
+        i.alias("id"), F.col("source").alias("domain"), F.col("lang").alias("level"), F.when(i % 3 == 0, "numeric").otherwise("mcq").alias("type"),
+        F.when(i % 4 == 0, F.concat(F.lit("skill"), i % 8)).alias("skill"), (F.col("quality") == 1).alias("correct_norm"), (F.col("toxic") == 0).alias("correct"),
+        F.when(i % 3 == 0, 0.0).otherwise(0.25).alias("chance"),
+    )
+
+
+_P, _D = "(k / n)", "(1 + 1.96 * 1.96 / n)"
+_MID, _HALF = f"(({_P} + 1.96 * 1.96 / (2 * n)) / {_D})", f"(1.96 * sqrt({_P} * (1 - {_P}) / n + 1.96 * 1.96 / (4 * n * n)) / {_D})"
+_LOW, _HIGH = f"greatest(0.0, {_MID} - {_HALF})", f"least(1.0, {_MID} + {_HALF})"
+_AGG = "count(*) AS n, CAST(count(*) FILTER (correct_norm) AS DOUBLE) AS k, avg(CAST(correct AS INT)) AS acc, avg(chance) AS chance"
+_OUT = f"n, round(k / n, 9) AS acc_norm, round(acc, 9) AS acc, round({_LOW}, 9) AS ci_low, round({_HIGH}, 9) AS ci_high, round(chance, 9) AS chance, {_LOW} - chance > 1e-12 AS above_chance"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@query(f"WITH {_RECORDS}, g AS (SELECT domain, {_AGG} FROM rec GROUP BY domain) SELECT domain, {_OUT} FROM g")
+def wilson_by_domain(t: Tables):
+    return _rounded(evals.summarise(records(t), F.col("domain")))
+
+
+@query(f"""
+    WITH {_RECORDS}, g AS (SELECT domain, level, type, skill, GROUPING(domain, level, type, skill) AS grouping, {_AGG} FROM rec
+        GROUP BY GROUPING SETS ((), (domain), (domain, level), (type), (skill)))
+    SELECT domain, level, type, skill, grouping, {_OUT} FROM g WHERE grouping <> 14 OR skill IS NOT NULL""")
+def grouping_sets_summary(t: Tables):
+    return _rounded(evals.grouped_summary(records(t)))
+
+
+@query(f"WITH {_RECORDS} SELECT domain, " + ", ".join(f"round(avg(CAST(correct_norm AS INT)) FILTER (level = '{x}'), 9) AS {x}" for x in ("en", "de", "fr", "es")) + " FROM rec GROUP BY domain")
+def pivot_domain_level(t: Tables):
+    return _rounded(evals.pivot_accuracy(records(t), "domain", "level", ["en", "de", "fr", "es"]))
+
+
+_NUM = """
+    x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS want,
+                 CASE l_linenumber % 6 WHEN 0 THEN l_quantity WHEN 1 THEN NULL WHEN 2 THEN l_quantity * 1000 WHEN 3 THEN -l_quantity WHEN 4 THEN l_quantity + 3.7 ELSE l_quantity * 0.01 END AS got,
+                 l_linenumber = 4 AND l_orderkey % 2 = 0 AS loop FROM lineitem)"""
+
+
+@query(f"""
+    WITH {_NUM}, y AS (SELECT *, round_even(log10(abs(got / want)), 0) AS k, coalesce(abs(got - want) <= greatest(0.001 * abs(want), 1e-6), false) AS ok FROM x)
+    SELECT CASE WHEN ok THEN 'correct' WHEN got IS NULL THEN 'no_number'
+        WHEN k <> 0 AND abs(got / pow(10.0, k) - want) <= greatest(0.01 * abs(want), 1e-6) THEN 'unit_error (off by 10^' || CAST(k AS INT) || ')'
+        WHEN got = -want THEN 'sign_error' WHEN loop THEN 'repetition_loop' ELSE 'wrong_value' END AS error, count(*) AS n FROM y GROUP BY 1""")
+def error_hist(t: Tables):
+    q, k = F.col("l_quantity"), F.col("l_linenumber") % 6
+    got = F.when(k == 0, q).when(k == 1, F.lit(None)).when(k == 2, q * 1000).when(k == 3, -q).when(k == 4, q + 3.7).otherwise(q * 0.01)
+    loop = (F.col("l_linenumber") == 4) & (F.col("l_orderkey") % 2 == 0)
+    return t.lineitem.groupBy(stats.number_error(got, q, F.lit(0.001), loop).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_MCQ = """
+    mcq AS (SELECT conv_id AS id, list(text ORDER BY turn) AS choices, list(CASE WHEN length(text) % 3 = 0 THEN 'near' WHEN length(text) % 3 = 1 THEN 'far' ELSE 'unit' END ORDER BY turn) AS kinds,
+                   conv_id % count(*) AS answer, (conv_id // 2) % count(*) AS pick FROM conversations GROUP BY conv_id)"""
+
+
+def _choices(t: Tables) -> DataFrame:
+    """Conversations as multiple-choice items: a turn is an option."""
+    kind = F.when(F.length("text") % 3 == 0, "near").when(F.length("text") % 3 == 1, "far").otherwise("unit")
+    g = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text", kind.alias("kind")))).alias("o"))
+    n = F.size("o")
+    return g.select("id", F.col("o.text").alias("choices"), F.col("o.kind").alias("kinds"), (F.col("id") % n).alias("answer"), (F.floor(F.col("id") / 2) % n).alias("pick"))
+
+
+@query(f"""
+    WITH {_MCQ}, o AS (SELECT answer, pick, unnest(kinds) AS kind, generate_subscripts(kinds, 1) - 1 AS pos FROM mcq)
+    SELECT kind, count(*) AS offered, count(*) FILTER (pos = pick) AS picked, round(count(*) FILTER (pos = pick) / count(*), 9) AS rate FROM o WHERE pos <> answer GROUP BY kind""")
+def distractor_offered_picked(t: Tables):
+    return _rounded(evals.distractors(_choices(t)))
+
+
+@query(f"""
+    WITH {_MCQ}, l AS (SELECT *, list_position(list_transform(choices, lambda c: length(c)), list_max(list_transform(choices, lambda c: length(c)))) - 1 AS longest FROM mcq)
+    SELECT count(*) AS n, count(*) FILTER (longest = answer) AS longest_is_answer, count(*) FILTER (longest = pick) AS longest_is_pick FROM l""")
+def longest_option_bias(t: Tables):
+    return evals.longest_option_bias(_choices(t))
+
+
+_RUNS = f"""{_RECORDS},
+    ref AS (SELECT id, domain, correct_norm AS a, id % 4 AS pa FROM rec), new AS (SELECT id, CASE WHEN id % 7 = 0 THEN NOT correct_norm ELSE correct_norm END AS b, CASE WHEN id % 5 = 0 THEN 9 ELSE id % 4 END AS pb FROM rec)"""
+
+
+def _two_runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    r, i = records(t), F.col("id")
+    new = r.select("id", "domain", F.when(i % 7 == 0, ~F.col("correct_norm")).otherwise(F.col("correct_norm")).alias("correct_norm"), F.when(i % 5 == 0, 9).otherwise(i % 4).alias("pick"))
+    return r.withColumn("pick", i % 4), new
+
+
+@query(f"""
+    WITH {_RUNS} SELECT domain, count(*) AS n, count(*) FILTER (a) AS ref_right, count(*) FILTER (b) AS new_right, count(*) FILTER (a <> b) AS changed,
+        count(*) FILTER (NOT a AND b) AS gained, count(*) FILTER (a AND NOT b) AS lost, count(*) FILTER (pa <> pb) AS pick_changed
+    FROM ref JOIN new USING (id) GROUP BY ROLLUP (domain)""")
+def compare_runs(t: Tables):
+    return evals.compare_runs(*_two_runs(t))
+
+
+@query(f"WITH {_RECORDS} SELECT r.id, 1 AS in_ref, CAST(NULL AS INT) AS in_new FROM rec r WHERE id % 50 = 0")
+def compare_guard(t: Tables):
+    ref, new = _two_runs(t)
+    return evals.compare_guard(ref, new.where("id % 50 <> 0"))
+
+
+@query("""
+    WITH s AS (SELECT label, embedding[1] AS v, row_number() OVER (PARTITION BY label ORDER BY embedding[1]) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+    SELECT label, CAST(v AS DOUBLE) AS upper_median FROM s WHERE r = n // 2 + 1""")
+def upper_median(t: Tables):
+    return evals.upper_median(t.embeddings, F.get("embedding", F.lit(0)).cast("double"), "label")
+
+
+_PRED = "pred AS (SELECT vec_id, 1 / (1 + exp(-CAST(list_max(embedding) AS DOUBLE))) AS confidence, (list_position(embedding, list_max(embedding)) - 1) % 4 = label % 4 AS hit FROM embeddings)"
+
+
+def _predictions(t: Tables) -> DataFrame:
+    e = F.col("embedding")
+    return t.embeddings.select("vec_id", (1 / (1 + F.exp(-F.array_max(e).cast("double")))).alias("confidence"), (arrays.first_argmax(e) % 4 == F.col("label") % 4).alias("hit"))
+
+
+@query(f"WITH {_PRED} SELECT CAST(least(floor(confidence * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(confidence), 9) AS confidence, round(avg(CAST(hit AS INT)), 9) AS accuracy FROM pred GROUP BY 1")
+def calibration_bins(t: Tables):
+    return _rounded(evals.calibration(_predictions(t)))
+
+
+@query(f"""WITH {_PRED}, b AS (SELECT least(floor(confidence * 10), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg(CAST(hit AS INT)) AS a FROM pred GROUP BY 1)
+    SELECT round(sum(n * abs(c - a)) / sum(n), 9) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""")
+def ece_10bin(t: Tables):
+    return _rounded(evals.expected_calibration_error(_predictions(t)))
+
+
+_VARIANTS = """
+    v AS (SELECT n_name AS topic, i, n_name || repeat(' more', CASE WHEN i % 2 = 0 THEN 1 ELSE 3 END) || CASE WHEN i >= 2 THEN ' indeed' ELSE ' it''s' END AS text,
+                 CASE WHEN i % 2 = 0 THEN 1 ELSE 3 END AS detail, i // 2 AS formal FROM nation, range(4) r(i)),
+    ab AS (SELECT a.topic, a.text AS ta, b.text AS tb, CASE WHEN a.detail > b.detail THEN 0 WHEN a.detail < b.detail THEN 1 END AS h, CASE WHEN a.formal > b.formal THEN 0 WHEN a.formal < b.formal THEN 1 END AS f
+           FROM v a JOIN v b ON a.topic = b.topic AND a.i < b.i),
+    w AS (SELECT topic, ta, tb, c.condition, CASE c.condition WHEN 'helpful' THEN h WHEN 'concise' THEN 1 - h ELSE f END AS winner, h, f FROM ab, (VALUES ('helpful'), ('concise'), ('formal')) c(condition)),
+    pairs AS (SELECT topic AS prompt, condition, CASE WHEN winner = 0 THEN ta ELSE tb END AS chosen, CASE WHEN winner = 0 THEN tb ELSE ta END AS rejected,
+                     coalesce(h <> winner, false) OR coalesce(1 - h <> winner, false) OR coalesce(f <> winner, false) AS conflicting FROM w WHERE winner IS NOT NULL)"""
+
+
+def _variants(t: Tables) -> DataFrame:
+    i = F.col("i")
+    rows = t.nation.select(F.col("n_name").alias("topic"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    detail = F.when(i % 2 == 0, 1).otherwise(3)
+    text = F.concat("topic", F.expr("repeat(' more', if(i % 2 = 0, 1, 3))"), F.when(i >= 2, " indeed").otherwise(" it's"))
+    return rows.select("topic", "i", text.alias("text"), detail.alias("detail"), F.floor(i / 2).cast("int").alias("formal"))
+
+
+@query(f"WITH {_VARIANTS} SELECT * FROM pairs")
+def prefs_pairs(t: Tables):
+    return evals.preference_pairs(_variants(t))
+
+
+@query(f"WITH {_VARIANTS} SELECT condition, conflicting, count(*) AS n FROM pairs GROUP BY ALL")
+def prefs_balance(t: Tables):
+    return evals.preference_pairs(_variants(t)).groupBy("condition", "conflicting").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_VARIANTS}, g AS (SELECT count(*) FILTER (chosen = least(chosen, rejected)) AS k, count(*) AS n FROM pairs GROUP BY prompt, least(chosen, rejected), greatest(chosen, rejected))
+    SELECT round(sum(greatest(k, n - k)) / sum(n), 9) AS ceiling, CAST(sum(n) AS BIGINT) AS pairs FROM g""")
+def prefs_ceiling(t: Tables):
+    return _rounded(evals.condition_blind_ceiling(evals.preference_pairs(_variants(t))))
+
+
+def _formality(t: str) -> str:
+    return f"-len(regexp_extract_all({t}, '''(?:re|ve|ll|s|t|m|d)\\b')) * 1000000 + length(regexp_replace({t}, '\\s+', '', 'g')) / greatest(len(list_filter(string_split_regex({t}, '\\s+'), lambda x: x <> '')), 1)"
+
+
+@query(f"""WITH {_VARIANTS} SELECT round(avg(CAST(CASE condition WHEN 'helpful' THEN length(chosen) > length(rejected) WHEN 'concise' THEN length(chosen) < length(rejected)
+        ELSE {_formality('chosen')} > {_formality('rejected')} END AS INT)), 9) AS accuracy FROM pairs""")
+def prefs_heuristic(t: Tables):
+    return _rounded(evals.surface_accuracy(evals.preference_pairs(_variants(t))))
+
+
+@query("""SELECT round(avg(ln(1 + exp(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))) + 0.01 * avg(CAST(embedding[1] AS DOUBLE) * CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) * CAST(embedding[2] AS DOUBLE)), 9) AS loss,
+        round(avg(CAST(embedding[1] > embedding[2] AS INT)), 9) AS accuracy, round(avg(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE)), 9) AS margin FROM embeddings""")
+def preference_metrics(t: Tables):
+    a, b = F.get("embedding", F.lit(0)).cast("double"), F.get("embedding", F.lit(1)).cast("double")
+    return _rounded(t.embeddings.agg(stats.preference_loss(a, b, 0.01).alias("loss"), F.avg((a > b).cast("int")).alias("accuracy"), F.avg(a - b).alias("margin")))
+
+
+_SFT = """
+    turns AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    sys AS (SELECT conv_id, max(text) FILTER (role = 'system') AS system FROM conversations GROUP BY conv_id),
+    raw AS (SELECT conv_id * 1000 + turn AS id, system, text AS prompt, response FROM turns JOIN sys USING (conv_id) WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@query(f"WITH {_SFT} SELECT id, coalesce('<|system|>' || system, '') || '<|user|>' || prompt || '<|assistant|>' || response || '<|endoftext|>' AS text FROM raw")
+def chat_template_text(t: Tables):
+    rows = sft.from_conversations(t.conversations)
+    return rows.select("id", sft.chat_text(F.col("system"), F.col("prompt"), F.col("response")).alias("text"))
+
+
+_SFT_RAW = f"""{_SFT},
+    more AS (SELECT id, prompt, response, CASE WHEN id % 10 = 1 THEN 'x' || id END AS answer FROM raw
+             UNION ALL SELECT id + 1000000000, prompt, CASE WHEN id % 2 = 0 THEN response ELSE upper(response) || ' 2' END, NULL FROM raw
+             UNION ALL SELECT id + 2000000000, prompt || ' again', response || CASE WHEN id % 7 = 0 THEN '<|user|>' ELSE '' END, CASE WHEN id % 3 = 0 THEN 'a' END FROM raw
+             UNION ALL SELECT id + 3000000000, prompt || ' again', response, CASE WHEN id % 9 = 0 THEN 'b' END FROM raw)"""
+_SFT_NORM = lambda c: f"trim(regexp_replace(lower({c}), '[\\x{{9}}-\\x{{d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+def _sft_rows(t: Tables) -> DataFrame:
+    raw = sft.from_conversations(t.conversations).drop("system")
+    i, none = F.col("id"), F.lit(None).cast("string")
+    again = F.concat("prompt", F.lit(" again"))
+    return (
+        raw.withColumn("answer", F.when(i % 10 == 1, F.concat(F.lit("x"), i)))
+        .unionByName(raw.select((i + 1000000000).alias("id"), "prompt", F.when(i % 2 == 0, F.col("response")).otherwise(F.concat(F.upper("response"), F.lit(" 2"))).alias("response"), none.alias("answer")))
+        .unionByName(raw.select((i + 2000000000).alias("id"), again.alias("prompt"), F.concat("response", F.when(i % 7 == 0, "<|user|>").otherwise("")).alias("response"), F.when(i % 3 == 0, "a").alias("answer")))
+        .unionByName(raw.select((i + 3000000000).alias("id"), again.alias("prompt"), "response", F.when(i % 9 == 0, "b").alias("answer")))
+    )
+
+
+_SFT_REASONS = f"""{_SFT_RAW},
+    n AS (SELECT *, {_SFT_NORM('prompt')} AS p, {_SFT_NORM('response')} AS r, contains(prompt || chr(10) || response, '<|') AS special,
+                 CASE WHEN length(prompt) + length(response) > 1500 THEN 'too_long' WHEN answer IS NOT NULL AND NOT contains(lower(response), lower(trim(answer))) THEN 'answer_mismatch' ELSE 'kept' END AS late FROM more),
+    g AS (SELECT p, count(DISTINCT answer) > 1 AS contradictory, min(CASE WHEN NOT special AND late = 'kept' THEN id END) AS kid FROM n GROUP BY p),
+    k AS (SELECT g.p, contradictory, kid, n.r AS kr FROM g LEFT JOIN n ON n.id = g.kid),
+    reasons AS (SELECT n.id, CASE WHEN special THEN 'special_text' WHEN contradictory THEN 'contradictory' WHEN kid < n.id AND kr = n.r THEN 'duplicate' WHEN kid < n.id THEN 'duplicate_prompt' ELSE late END AS reason FROM n JOIN k USING (p))"""
+
+
+@query(f"WITH {_SFT_REASONS} SELECT * FROM reasons")
+def sft_reasons(t: Tables):
+    return sft.account(_sft_rows(t), most_chars=1500).select("id", "reason")
+
+
+@query(f"WITH {_SFT_REASONS} SELECT reason, count(*) AS n FROM reasons GROUP BY reason")
+def sft_reason_counts(t: Tables):
+    return sft.account(_sft_rows(t), most_chars=1500).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_SFT_RAW} SELECT {_SFT_NORM('prompt')} AS p, count(DISTINCT answer) AS answers FROM more GROUP BY 1 HAVING count(DISTINCT answer) > 1""")
+def sft_contradictory(t: Tables):
+    from corpusmill.functions import text as tx
+
+    return _sft_rows(t).groupBy(tx.normal_form("prompt").alias("p")).agg(F.count_distinct("answer").alias("answers")).where("answers > 1")
+
+
+@query(f"""WITH {_SFT}, u AS (SELECT id, ('0x' || substr(sha256('0:' || {_SFT_NORM('prompt')}), 1, 8))::UBIGINT / 4294967296.0 AS u, response FROM raw),
+        s AS (SELECT CASE WHEN u < 0.05 THEN 'test' WHEN u < 0.05 + 0.05 THEN 'val' ELSE 'train' END AS split, response FROM u)
+    SELECT split, count(*) AS n, CAST(sum(length(response)) AS BIGINT) AS chars FROM s GROUP BY split""")
+def sft_split_stats(t: Tables):
+    return sft.split(sft.from_conversations(t.conversations)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("response")).alias("chars"))
+
+
+@query("""SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 2 = 0 THEN text END, ''), nullif(role, '')) AS prompt, nullif(role, '') AS response FROM conversations""")
+def jsonl_alias(t: Tables):
+    rows = t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("").alias("instruction"), F.col("role").alias("output"))
+    picked = sft.aliased(rows.withColumn("input", F.col("output")).withColumn("key", F.concat_ws(":", "conv_id", "turn")), {"key": ["key"], "prompt": ["prompt", "instruction", "input"], "response": ["response", "output"]})
+    k = F.split("key", ":")
+    return picked.select(F.get(k, F.lit(0)).cast("long").alias("conv_id"), F.get(k, F.lit(1)).cast("long").alias("turn"), "prompt", "response")
+
+
+@query("""WITH s AS (SELECT vec_id, embedding[1:8] AS e FROM embeddings), r AS (SELECT vec_id, e, list_sort(e, 'DESC')[3] AS floor FROM s)
+    SELECT vec_id, list_count(list_transform(e, lambda x: CASE WHEN x >= floor THEN x END)) AS kept, list_position(e, list_max(e)) - 1 AS best,
+           round(list_max(list_transform(e, lambda x: CASE WHEN x > 0 THEN CAST(x AS DOUBLE) / 1.5 ELSE CAST(x AS DOUBLE) * 1.5 END)), 6) AS penalized FROM r""")
+def logits_masks(t: Tables):
+    e = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    rows = t.embeddings.select("vec_id", e.alias("e"))
+    kept = F.size(F.filter(arrays.top_k(F.col("e"), 3), lambda x: x.isNotNull())).cast("long")
+    seen = F.sequence(F.lit(0), F.lit(7))
+    return rows.select("vec_id", kept.alias("kept"), arrays.first_argmax(F.col("e")).alias("best"), F.round(F.array_max(arrays.penalized(F.col("e"), seen, 1.5)), 6).alias("penalized"))
+
+
+@query()
+def nucleus_masks(t: Tables):
+    """Sizes of nucleus sets, bans of repeated runs, tails and paddings."""
+    rows = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("e"))
+    ids = F.transform(F.col("e"), lambda x: F.floor(F.abs(x) * 3).cast("int"))
+    size = F.size(F.filter(arrays.top_p(F.col("e"), 0.9), lambda x: x.isNotNull()))
+    return rows.select("vec_id", size.alias("nucleus"), arrays.let(ids, lambda w: arrays.banned_next(w, 2)).alias("banned"), arrays.tail(ids, 3).alias("tail"), F.size(arrays.padded(ids, 12, F.lit(0))).alias("width"))
+
+
+@query("""SELECT a.vec_id, round(list_max(list_transform(range(1, 9), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS most,
+        round(list_sum(list_transform(range(1, 9), lambda i: CAST(floor(a.embedding[i]) = floor(b.embedding[i]) AS INT))) / 8, 6) AS agree,
+        round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))) / list_sum(list_transform(range(1, 9), lambda i: pow(CAST(a.embedding[i] AS DOUBLE), 2)))), 6) AS relative
+    FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id""")
+def score_differences(t: Tables):
+    e = lambda c: F.slice(F.col(c).cast("array<double>"), 1, 8)
+    a = t.embeddings.select("vec_id", e("embedding").alias("a"))
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), e("embedding").alias("b"))
+    down = lambda c: F.transform(F.col(c), lambda x: F.floor(x))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
+    relative = F.sqrt(total(F.zip_with("a", "b", lambda x, y: F.pow(x - y, F.lit(2)))) / total(F.transform("a", lambda x: F.pow(x, F.lit(2)))))
+    return a.join(b, "vec_id").select("vec_id", F.round(arrays.most_different(F.col("a"), F.col("b")), 6).alias("most"), F.round(arrays.agreement(down("a"), down("b")), 6).alias("agree"), F.round(relative, 6).alias("relative"))
