@@ -32,10 +32,10 @@ from corpusmill.llm.arrowtext import RollingHash, lower_ascii, mix, runs, word_s
 from corpusmill.scratch import materialize
 
 THRESHOLD = (4, 5)  # the similarity as a fraction: comparisons stay in whole numbers
-COUNT_BITS = 16
+COUNT_BITS, COUNT_BLOCK = 20, 1 << 14
 HOT = 20_000
-#: Lists of no more classes are compared as a whole; longer ones in blocks, until each class has a pair.
-SMALL = 64
+#: Lists of no more classes are compared as a whole; longer ones in blocks, until each class has two pairs.
+LARGE = 2048
 PAIRS = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -61,13 +61,19 @@ def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple:
     # Lines of empty texts hold no words and share their place with others: words go to the last line that begins at or before them.
     line = np.searchsorted(line_start, starts, side="right") - 1
     h = RollingHash(low).of(starts, ends)
-    by = np.lexsort((h, line))
+    by = _by_line(line, h)
     h, line = h[by], line[by]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     return h[new], line[new], line_start, line_end, owner, number
 
 
+def _by_line(line: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by line, then by a number of each token: a single sort where both fit 64 bits."""
+    bits = max(int(line[-1]).bit_length() if len(line) else 0, 1)
+    return np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)), kind="stable")
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
@@ -76,17 +82,30 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
         for _, _, buf, offsets in runs(batch.column(0)):
-            total += np.bincount(_bucket(_lines(buf, offsets)[0]), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+            low = lower_ascii(buf)
+            starts, ends, _ = word_spans(~_SPACE[low], offsets)
+            total += np.bincount(_bucket(RollingHash(low).of(starts, ends)), minlength=len(total))
+    blocks = total.reshape(-1, COUNT_BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some.tolist()], pa.binary())], names=["block", "n"])
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(n, np.int64)
+            total[block] = total[block] + own if block in total else own
+    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "n"])
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """Lines that hold a token of each bucket: a table of fixed size, from all lines."""
+    """Occurrences of the tokens of each bucket: a table of fixed size, from all texts. Parts are summed by block, in a stream."""
+    parts = texts.select("text").mapInArrow(_count_rows, "block int, n binary")
     out = np.zeros(1 << COUNT_BITS, np.int64)
-    for r in texts.select("text").mapInArrow(_count_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["bucket"]] = r["n"]
-    return out
+    for r in parts.repartition("block").mapInArrow(_sum_rows, "block int, n binary").toLocalIterator():
+        out[r["block"] * COUNT_BLOCK : (r["block"] + 1) * COUNT_BLOCK] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -95,11 +114,11 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-n * p // q) + 1
 
 
-_LINES = pa.schema([("d", pa.int64()), ("l", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("k", pa.int64()), ("prefix", pa.list_(pa.int64())), ("line", pa.large_binary())])
-_LINES_DDL = "d long, l int, n int, sig long, k long, prefix array<long>, line binary"
+_LINES = pa.schema([("d", pa.int64()), ("l", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("k", pa.int64()), ("line", pa.large_binary())])
+_LINES_DDL = "d long, l int, n int, sig long, k long, line binary"
 
 
-def _line_rows(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line that has words."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -109,19 +128,13 @@ def _line_rows(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterato
             some = np.flatnonzero(n)
             if not len(some):
                 continue
-            begin = np.concatenate([[0], np.cumsum(n[some])])
+            begin = np.cumsum(n[some]) - n[some]
             # Signature and parity sketch do not depend on the tokens' order.
-            sig = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin[:-1])
-            bit = np.uint64(1) << (mix(h + np.uint64(77)) >> np.uint64(58))
-            sketch = np.bitwise_xor.reduceat(bit, begin[:-1])
-            rank = np.lexsort((h, counts[_bucket(h)], line))
-            size = prefix_size(n[some])
-            at = np.concatenate([[0], np.cumsum(size)])
-            within = np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(begin[:-1], size)
-            prefix = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h[rank][within].view(np.int64)))
+            sig = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
+            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mix(h + np.uint64(77)) >> np.uint64(58)), begin)
             data = buf.tobytes()
             text = pa.array([data[x:y] for x, y in zip(line_start[some].tolist(), line_end[some].tolist(), strict=True)], pa.large_binary())
-            yield pa.record_batch([pa.array(ids[a + owner[some]]), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(sketch.view(np.int64)), prefix, text], schema=_LINES)
+            yield pa.record_batch([pa.array(ids[a + owner[some]]), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(sketch.view(np.int64)), text], schema=_LINES)
 
 
 def _places(documents: DataFrame) -> DataFrame:
@@ -129,12 +142,40 @@ def _places(documents: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """(d, l, k, n, prefix, line): the first line of each distinct set of tokens."""
-    rows = _places(documents)
-    counts = documents.sparkSession.sparkContext.broadcast(rarity(documents))
-    lines = rows.mapInArrow(lambda batches: _line_rows(counts.value, batches), _LINES_DDL)
-    first = lines.groupBy("sig", "k", "n").agg(F.min(F.struct("d", "l", "prefix", "line")).alias("first"))
-    return materialize(first.select("first.d", "first.l", "k", "n", "first.prefix", "first.line"), "line-classes")
+    """(d, l, k, n, line): the first line of each distinct set of tokens."""
+    lines = _places(documents).mapInArrow(_line_rows, _LINES_DDL)
+    first = lines.groupBy("sig", "k", "n").agg(F.min(F.struct("d", "l", "line")).alias("first"))
+    return materialize(first.select("first.d", "first.l", "k", "n", "first.line"), "line-classes", compression="zstd")
+
+
+_POSTINGS = pa.schema([("token", pa.int64()), ("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+_POSTINGS_DDL = "token long, d long, l int, k long, n int, at int"
+
+
+def _posting_rows(counts: np.ndarray, over: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, buf, offsets in runs(batch.column(4)):
+            low = lower_ascii(buf)
+            starts, ends, _ = word_spans(~_SPACE[low], offsets)
+            line = np.searchsorted(offsets, starts, side="right") - 1
+            h = RollingHash(low).of(starts, ends)
+            by = _by_line(line, h)
+            h, line = h[by], line[by]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+            h, line = h[new], line[new]
+            # Rare first; tokens of equal counts in the order of their hashes, which all lines share.
+            rank = np.lexsort((h, counts[_bucket(h)], line))
+            n = np.bincount(line, minlength=b - a)
+            size = np.where(n > 0, prefix_size(n), 0)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            of = np.repeat(np.arange(b - a), size)
+            token = h[rank][np.repeat(np.cumsum(n) - n, size) + at]
+            if over:
+                often = counts[_bucket(token)] > over
+                token, of, at = token[often], of[often], at[often]
+            columns = [token.view(np.int64), *(batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False)[of] for c in range(4)), at.astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], schema=_POSTINGS)
 
 
 _PAIRS = pa.schema([*((f"{c}{i}", t) for i in (1, 2) for c, t in (("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()))), ("more", pa.bool_())])
@@ -153,59 +194,61 @@ class _Lists:
         self.place[order] = np.cumsum(~same)
         self.edges = np.flatnonzero(np.concatenate([[True], self.token[1:] != self.token[:-1], [True]]))
 
-    def passes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether j may match and is earlier than i."""
+    def _kept(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs whose sizes can match, i's the smaller: (later, earlier) of those that pass the other filters."""
         p, q = THRESHOLD
-        ok = (self.place[j] < self.place[i]) & self.probe[i]
         n, m = self.n[i], self.n[j]
-        ok &= (n * q >= m * p) & (m * q >= n * p)
         need = -(-(n + m) * p // (p + q))
-        ok &= 1 + np.minimum(n - self.at[i], m - self.at[j]) - 1 >= need
-        return ok & (np.bitwise_count(self.k[i] ^ self.k[j]) <= n + m - 2 * need)
+        ok = np.bitwise_count(self.k[i] ^ self.k[j]) <= n + m - 2 * need
+        i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
+        ok = np.minimum(n - self.at[i], m - self.at[j]) >= need
+        i, j = i[ok], j[ok]
+        swap = self.place[i] < self.place[j]
+        later, earlier = np.where(swap, j, i), np.where(swap, i, j)
+        ok = (self.place[i] != self.place[j]) & self.probe[later]
+        return later[ok], earlier[ok]
 
     def pairs(self, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Members are sorted by size: each meets those behind it, up to the greatest size that can match."""
+        p, q = THRESHOLD
         low, high = self.edges[:-1], self.edges[1:]
-        size = high - low
-        small = (size > 1) & (size <= SMALL)
-        low_s, size_s = low[small], size[small]
-        upto = np.cumsum(size_s**2)
+        group = np.repeat(np.arange(len(low)), high - low)
+        wide = int(self.n.max()) * q // p + 2
+        upper = np.searchsorted(group * wide + self.n, group * wide + self.n * q // p, side="right")
+        large = np.repeat((high - low) > LARGE, high - low) & (not everything)
+        mine = np.arange(len(group))
+        count = np.where(large, 0, upper - mine - 1)
+        upto = np.cumsum(count)
         a = 0
-        while a < len(low_s):
+        while a < len(mine):
             b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
-            s = size_s[a:b]
-            x = np.arange((s**2).sum()) - np.repeat(np.cumsum(s**2) - s**2, s**2)
-            wide, base = np.repeat(s, s**2), np.repeat(low_s[a:b], s**2)
-            i, j = base + x // wide, base + x % wide
-            ok = self.passes(i, j)
-            yield i[ok], j[ok]
+            c = count[a:b]
+            if c.sum():
+                i = np.repeat(mine[a:b], c)
+                yield self._kept(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c))
             a = b
-        for lo, hi in zip(low[size > SMALL].tolist(), high[size > SMALL].tolist(), strict=True):
-            yield from self._large(lo, hi, everything)
-
-    def _large(self, lo: int, hi: int, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Members are sorted by size: each block of them meets the sizes that can match, and is done once each has two pairs."""
-        p, q = THRESHOLD
-        block = 256
+        for lo, hi in zip(low[high - low > LARGE].tolist(), high[high - low > LARGE].tolist(), strict=True) if not everything else ():
+            yield from self._large(lo, hi, upper)
+
+    def _large(self, lo: int, hi: int, upper: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of a long list against the members around them, near sizes first, until each has two earlier ones."""
+        block, step = 512, 2048
+        found = np.zeros(hi - lo, np.int64)
+        lower = np.searchsorted(upper[lo:hi], np.arange(lo, hi), side="right") + lo  # the first whose sizes reach a member
         for a in range(lo, hi, block):
             mine = np.arange(a, min(a + block, hi))
-            mine = mine[self.probe[mine]]
-            if not len(mine):
-                continue
-            from_, to = lo + np.searchsorted(self.n[lo:hi], -(-self.n[mine[0]] * p // q)), lo + np.searchsorted(self.n[lo:hi], self.n[mine[-1]] * q // p, side="right")
-            # The nearest in order come first: near copies often have equal sizes.
-            starts = sorted(range(int(from_), int(to), 2048), key=lambda c: abs(c + 1024 - a))
-            found = np.zeros(hi - lo, np.int64)
-            for c in starts:
-                others = np.arange(c, min(c + 2048, int(to)))
-                i, j = np.repeat(mine, len(others)), np.tile(others, len(mine))
-                ok = self.passes(i, j)
-                i, j = i[ok], j[ok]
-                if not everything:
-                    found += np.bincount(i - lo, minlength=hi - lo)
-                    mine = mine[found[mine - lo] < 2]
-                yield i, j
+            from_, to = int(lower[a - lo]), int(upper[mine[-1]])
+            for c in sorted(range(from_, to, step), key=lambda c: abs(c + step // 2 - a)):
+                mine = mine[(found[mine - lo] < 2) & self.probe[mine]]
                 if not len(mine):
                     break
+                others = np.arange(c, min(c + step, to))
+                x, y = np.repeat(mine, len(others)), np.tile(others, len(mine))
+                i, j = np.minimum(x, y), np.maximum(x, y)
+                ok = (i != j) & (j < upper[i])
+                later, earlier = self._kept(i[ok], j[ok])
+                found += np.bincount(later - lo, minlength=hi - lo)
+                yield later, earlier
 
 
 def _pair_partition(everything: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,16 +314,19 @@ def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "d long, l int, k long").distinct()
 
 
-def _postings(table: DataFrame) -> DataFrame:
-    """(token, d, l, k, n, at): a row for each prefix token of classes that can match others; ``at`` tokens come before it."""
+def _postings(table: DataFrame, counts, over: int = 0) -> DataFrame:
+    """(token, d, l, k, n, at): a row for each prefix token of classes that can match others; ``at`` tokens come before it.
+
+    With ``over``, only of tokens that may occur more often: no others can have a longer list.
+    """
     p, q = THRESHOLD
     rows = table.where(F.col("n") * (q - p) >= p)  # smaller sets match their equals only
-    return rows.select("d", "l", "k", "n", F.posexplode("prefix").alias("at", "token"))
+    return rows.select("d", "l", "k", "n", "line").mapInArrow(lambda batches: _posting_rows(counts.value, over, batches), _POSTINGS_DDL)
 
 
-def _met(postings: DataFrame, everything: bool, hot: int) -> DataFrame:
-    """Pairs of classes that share a prefix token and pass the filters."""
-    large = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("token", F.ceil(F.col("m") / hot).cast("int").alias("shards")), "line-hot")
+def _met(postings: DataFrame, suspects: DataFrame, everything: bool, hot: int) -> DataFrame:
+    """Pairs of classes that share a prefix token and pass the filters; ``suspects`` are the postings of tokens that may be hot."""
+    large = materialize(suspects.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("token", F.ceil(F.col("m") / hot).cast("int").alias("shards")), "line-hot")
     if not large.isEmpty():
         rows = postings.join(large, "token", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("d", "l", "k"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -289,19 +335,19 @@ def _met(postings: DataFrame, everything: bool, hot: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: _pair_partition(everything, batches), _PAIRS_DDL)
 
 
-def matched_classes(table: DataFrame, hot: int = HOT) -> DataFrame:
+def matched_classes(table: DataFrame, counts, hot: int = HOT) -> DataFrame:
     """(d, l, k) of the classes that an earlier class matches."""
     keys = ["d", "l", "k"]
-    pairs = materialize(_met(_postings(table).withColumn("probe", F.lit(True)), False, hot), "line-pairs")
+    pairs = materialize(_met(_postings(table, counts).withColumn("probe", F.lit(True)), _postings(table, counts, hot), False, hot), "line-pairs")
     distinct = pairs.groupBy("d1", "l1", "k1", "d2", "l2", "k2").agg(F.max("more").alias("more"))
     found = materialize(_verified(distinct.drop("more"), table), "line-matched")
     several = pairs.groupBy(*[F.col(f"{c}1").alias(c) for c in keys]).agg(F.max("more").alias("more")).where("more").drop("more")
     open_ = materialize(several.join(found, keys, "left_anti"), "line-open")
     if open_.isEmpty():
         return found
-    postings = _postings(table).join(open_.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    postings = _postings(table, counts).join(open_.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
     postings = postings.join(postings.where("probe").select("token").distinct(), "token", "left_semi")
-    rest = _met(postings, True, hot).drop("more").distinct()
+    rest = _met(postings, postings, True, hot).drop("more").distinct()
     return found.unionByName(_verified(rest, table))
 
 
@@ -320,7 +366,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_lines(documents: DataFrame) -> DataFrame:
     """(d, kept): numbers, from 0, of the lines with words that stay, of each document that has some."""
     table = classes(documents)
-    gone = matched_classes(table)
+    gone = matched_classes(table, documents.sparkSession.sparkContext.broadcast(rarity(documents)))
     stay = table.select("d", "l", "k").join(gone, ["d", "l", "k"], "left_anti")
     return stay.groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("kept"))
 
