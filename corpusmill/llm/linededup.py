@@ -7,7 +7,8 @@ number, matches it. Lines of equal sets are one class, and only classes are join
   * tokens are ordered by rarity. Frequencies are counted over all lines, in a table of fixed size that is
     indexed by the token's hash; any order that all lines share gives right results, and a rare-first one short lists;
   * matching sets share a token of their prefixes, so classes meet by prefix token; length and positional
-    filters, and a 64-bit parity sketch that bounds the symmetric difference, leave few pairs;
+    filters, and a parity sketch that bounds the symmetric difference, leave few pairs. A sketch has 64 bits, and
+    twice as many for each doubling of a set over 64 tokens; a wide one folds into a narrow one;
   * each class first has its nearest pair verified on the words themselves. Classes that have more pairs and
     no match yet then have all their pairs verified, so that a large group of near copies does not
     give all its pairs, and no match is lost;
@@ -148,8 +149,31 @@ def classes(documents: DataFrame) -> DataFrame:
     return materialize(first.select("first.d", "first.l", "k", "n", "first.line"), "line-classes", compression="zstd")
 
 
-_POSTINGS = pa.schema([("token", pa.int64()), ("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
-_POSTINGS_DDL = "token long, d long, l int, k long, n int, at int"
+_POSTINGS = pa.schema([("token", pa.int64()), ("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("wide", pa.list_(pa.int64()))])
+_POSTINGS_DDL = "token long, d long, l int, k long, n int, at int, wide array<long>"
+#: Sketches double at most so often.
+LEVELS = 5
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """How often the sketch of a set of n tokens is doubled."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 64) / 64)), 0, LEVELS).astype(np.int64)
+
+
+def _wide_sketches(h: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of all lines as words, one after another, and where each line's begin; none for a sketch of 64 bits.
+
+    A token's bit is the same modulo any smaller sketch's size, so a sketch's halves together are the smaller one.
+    """
+    level = _level(n)
+    words = np.where(level > 0, 1 << level, 0)
+    at = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(at[-1], np.uint64)
+    mine = level[line] > 0
+    h, line = h[mine], line[mine]
+    bit = mix(h + np.uint64(99)) & ((np.uint64(64) << level[line].astype(np.uint64)) - np.uint64(1))
+    np.bitwise_xor.at(out, at[line] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out, at
 
 
 def _posting_rows(counts: np.ndarray, over: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +195,16 @@ def _posting_rows(counts: np.ndarray, over: int, batches: Iterator[pa.RecordBatc
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             of = np.repeat(np.arange(b - a), size)
             token = h[rank][np.repeat(np.cumsum(n) - n, size) + at]
+            words, begin = _wide_sketches(h, line, n)
             if over:
                 often = counts[_bucket(token)] > over
                 token, of, at = token[often], of[often], at[often]
+            width = np.diff(begin)[of]
+            edges = np.concatenate([[0], np.cumsum(width)])
+            flat = words[np.arange(edges[-1]) + np.repeat(begin[of] - edges[:-1], width)].view(np.int64)
+            wide = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))
             columns = [token.view(np.int64), *(batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False)[of] for c in range(4)), at.astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], schema=_POSTINGS)
+            yield pa.record_batch([*(pa.array(c) for c in columns), wide], schema=_POSTINGS)
 
 
 _PAIRS = pa.schema([*((f"{c}{i}", t) for i in (1, 2) for c, t in (("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()))), ("more", pa.bool_())])
@@ -185,8 +214,17 @@ _PAIRS_DDL = "d1 long, l1 int, k1 long, d2 long, l2 int, k2 long, more boolean"
 class _Lists:
     """Classes that share prefix tokens; finds pairs (later, earlier) that pass all filters."""
 
-    def __init__(self, token: np.ndarray, d: np.ndarray, l_: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray, probe: np.ndarray):
+    def __init__(self, token: np.ndarray, d: np.ndarray, l_: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray, probe: np.ndarray, wide: tuple[np.ndarray, np.ndarray]):
         by = np.lexsort((n, token))
+        words, begin = wide
+        level = _level(n)[by]
+        # Of each level, the members' sketches as a matrix, and folded once; `row` is a member's row in its level's matrix.
+        self.level, self.row, self.sketches, self.folded = level, np.zeros(len(by), np.int64), {}, {}
+        for e in range(1, LEVELS + 1):
+            mine = np.flatnonzero(level == e)
+            self.row[mine] = np.arange(len(mine))
+            own = words[begin[by[mine]][:, None] + np.arange(1 << e)[None]].view(np.uint64)
+            self.sketches[e], self.folded[e] = own, own[:, : 1 << (e - 1)] ^ own[:, 1 << (e - 1) :]
         self.token, self.d, self.l, self.k, self.n, self.at, self.probe = (x[by] for x in (token, d, l_, k.view(np.uint64), n.astype(np.int64), at.astype(np.int64), probe))
         order = np.lexsort((self.k, self.l, self.d))
         same = np.concatenate([[False], (self.d[order][1:] == self.d[order][:-1]) & (self.l[order][1:] == self.l[order][:-1])])
@@ -202,6 +240,15 @@ class _Lists:
         ok = np.bitwise_count(self.k[i] ^ self.k[j]) <= n + m - 2 * need
         i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
         ok = np.minimum(n - self.at[i], m - self.at[j]) >= need
+        i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
+        far = np.zeros(len(i), np.int64)
+        a, b = self.level[i], self.level[j]  # i is the smaller: its sketch is as wide or half as wide
+        for e in range(1, LEVELS + 1):
+            for of, right in ((b == e, self.sketches[e]), (b == e + 1, self.folded.get(e + 1))):
+                some = np.flatnonzero((a == e) & of)
+                if len(some):
+                    far[some] = np.bitwise_count(self.sketches[e][self.row[i[some]]] ^ right[self.row[j[some]]]).sum(axis=1)
+        ok = far <= n + m - 2 * need
         i, j = i[ok], j[ok]
         swap = self.place[i] < self.place[j]
         later, earlier = np.where(swap, j, i), np.where(swap, i, j)
@@ -252,13 +299,18 @@ class _Lists:
 
 
 def _pair_partition(everything: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns = [[] for _ in range(7)]
+    columns, words, begin, total = [[] for _ in range(7)], [], [], 0
     for batch in batches:
-        for own, c in zip(columns, batch.columns, strict=True):
+        for own, c in zip(columns, batch.columns[:7], strict=True):
             own.append(c.to_numpy(zero_copy_only=False))
+        wide = batch.column(7)
+        edges = wide.offsets.to_numpy().astype(np.int64)
+        words.append(wide.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]])
+        begin.append(edges[:-1] - edges[0] + total)
+        total += int(edges[-1] - edges[0])
     if not columns[0]:
         return
-    lists = _Lists(*(np.concatenate(c) for c in columns))
+    lists = _Lists(*(np.concatenate(c) for c in columns), (np.concatenate(words), np.concatenate(begin)))
 
     def rows(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         own = [x for y in (i, j) for x in (lists.d[y], lists.l[y], lists.k[y].view(np.int64))]
@@ -331,7 +383,7 @@ def _met(postings: DataFrame, suspects: DataFrame, everything: bool, hot: int) -
         rows = postings.join(large, "token", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("d", "l", "k"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
         postings = rows.withColumn("token", F.when(F.col("shards") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))))
-    rows = postings.select("token", "d", "l", "k", "n", "at", "probe").repartition("token")
+    rows = postings.select("token", "d", "l", "k", "n", "at", "probe", "wide").repartition("token")
     return rows.mapInArrow(lambda batches: _pair_partition(everything, batches), _PAIRS_DDL)
 
 
@@ -345,9 +397,10 @@ def matched_classes(table: DataFrame, counts, hot: int = HOT) -> DataFrame:
     open_ = materialize(several.join(found, keys, "left_anti"), "line-open")
     if open_.isEmpty():
         return found
-    postings = _postings(table, counts).join(open_.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-    postings = postings.join(postings.where("probe").select("token").distinct(), "token", "left_semi")
-    rest = _met(postings, postings, True, hot).drop("more").distinct()
+    probes = _postings(table.join(open_, keys, "left_semi"), counts)
+    near = _postings(table, counts).join(probes.select("token").distinct(), "token", "left_semi")
+    near = materialize(near.join(open_.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "line-near")
+    rest = materialize(_met(near, near, True, hot).drop("more").distinct(), "line-rest")
     return found.unionByName(_verified(rest, table))
 
 
