@@ -109,7 +109,7 @@ def repeated_lines(documents: DataFrame, least: int = 3, shorter_than: int = 120
 def without_repeated_lines(documents: DataFrame, least: int = 3, shorter_than: int = 120) -> DataFrame:
     """Texts without those lines; all lines trimmed."""
     bad = repeated_lines(documents, least, shorter_than).groupBy("doc_id").agg(F.collect_list("line").alias("_bad"))
-    kept = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: ~F.array_contains(F.coalesce("_bad", F.array().cast("array<string>")), x))
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: ~F.array_contains(F.coalesce("_bad", F.array().cast("array<string>")), x))
     return documents.join(bad, "doc_id", "left").withColumn("text", F.array_join(kept, "\n")).drop("_bad")
 
 

@@ -68,7 +68,7 @@ def path_reason(path: Column, text: Column, extensions: list[str], least: int =
 
 def repeated_choices(choices: Column) -> Column:
     """Whether two choices are equal once trimmed."""
-    return F.size(F.array_distinct(F.transform(choices, F.trim))) < F.size(choices)
+    return F.size(F.array_distinct(F.transform(choices, lambda x: F.trim(x)))) < F.size(choices)
 
 
 def holds_special(text: Column, specials: list[str]) -> Column:
