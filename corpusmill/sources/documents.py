@@ -27,10 +27,32 @@ def expect_files(df: DataFrame, n: int) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, text) of whole text files, gzip too; invalid bytes become U+FFFD, all folders below are read."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("text"))
+
+
+def spread_slices(spark: SparkSession, path: str, spread: int, slice_bytes: int) -> DataFrame:
+    """(file, slice, text): evenly spaced slices of large text files, whole lines only; only the slices' bytes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    jobs = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("slice"))
+    begin = F.greatest(F.lit(0), F.floor((F.col("slice") + 0.5) / spread * F.col("length") - slice_bytes / 2)).cast("long")
+    schema = pa.schema([("file", pa.string()), ("slice", pa.int32()), ("raw", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, k, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, local = fs.FileSystem.from_uri(file if "://" in file else file.replace("file:", "file://", 1))
+                with store.open_input_file(local) as f:
+                    f.seek(at)
+                    raw = f.read(slice_bytes)
+                yield pa.record_batch([pa.array([x], t.type) for x, t in zip((file, k, raw), schema, strict=True)], schema=schema)
+
+    rows = jobs.select("path", "slice", begin.alias("begin")).repartition(spread).mapInArrow(read, "file string, slice int, raw binary")
+    return rows.select("file", "slice", trimmed_slice(F.make_valid_utf8(F.col("raw"))).alias("text"))
 
 
 def _kept(parts: Column) -> Column:

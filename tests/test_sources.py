@@ -155,3 +155,11 @@ def test_event_windows(spark, tmp_path):
     q = ingest.counted_windows(s, "ts", "1 hour", "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(n) AS n FROM w").first()["n"] == events.count()
+
+
+def test_spread_slices(spark, tmp_path):
+    lines = [f"line {i:05d}" for i in range(2000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    got = {r.slice: r.text.split("\n") for r in src.spread_slices(spark, str(tmp_path), 4, 600).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(set(x) <= set(lines) for x in got.values())
+    assert [int(got[k][0][5:]) // 500 for k in range(4)] == [0, 1, 2, 3]
