@@ -36,6 +36,8 @@ SEED = 42
 BUDGET = 4
 #: Members of a group above which it is split in shards of about so many.
 HOT = 50_000
+#: A value that more than one in so many documents has is joined by broadcast: there can't be more such values.
+HEAVY_SHARE = 100_000
 #: Pairs of nodes with no more pairs of members are compared directly.
 LEAF = 64
 #: Pairs of nodes that go down together, and pairs of members that are compared together.
@@ -296,13 +298,17 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 def near_duplicates(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id) of each document."""
     prints = materialize(fingerprint_rows(documents), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     labels = components(links(distinct.select("fp"), budget), "simhash-links")
     linked = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp")
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     renamed = linked.join(least, "label").select("fp", "component_id")
-    ids = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = distinct.join(renamed, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    # Values of many documents would meet them all in one task; there are at most HEAVY_SHARE of those, so they are sent to the documents.
+    heavy = F.col("n") > max(1000, prints.count() // HEAVY_SHARE)
+    common = F.broadcast(materialize(ids.where(heavy).select("fp", "component_id"), "simhash-common"))
+    rare = prints.join(common.select("fp"), "fp", "left_anti").join(ids.where(~heavy).select("fp", "component_id"), "fp")
+    return prints.join(common, "fp").unionByName(rare).select("doc_id", "fp", "component_id")
 
 
 def report(documents: DataFrame) -> DataFrame:
