@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Texts are scanned in runs of about so many bytes: temporary arrays stay in cache and memory stays bounded.
 RUN_BYTES = 1 << 20
@@ -65,6 +66,19 @@ def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
+def kept_rows(documents: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of a table for whose text ``keep`` holds, all columns as they are; runs of texts are judged as they are read."""
+    at = documents.columns.index("text")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [keep(buf, offsets) for _, _, buf, offsets in runs(batch.column(at))]
+            if flags:
+                yield batch.filter(pa.array(np.concatenate(flags)))
+
+    return documents.mapInArrow(judged, documents.schema)
+
+
 class RollingHash:
     """64-bit polynomial hashes of any byte ranges of a buffer, from one prefix sum."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import RollingHash, lower_ascii, mix, runs, word_spans
+from corpusmill.llm.arrowtext import RollingHash, kept_rows, lower_ascii, mix, runs, word_spans
 
 #: Words: runs of 0-9, a-z and of all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -248,11 +248,30 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``documents`` that aren't contaminated, with all their columns."""
-    keyed = documents.withColumn("_row", F.monotonically_increasing_id())
-    hits = find_hits(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, block_bytes=block_bytes)
-    bad = hits.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_row"))
-    return keyed.join(bad, "_row", "left_anti").select(*documents.columns)
+    """The rows of ``documents`` that aren't contaminated, with all their columns.
+
+    Where the benchmark is a single block, rows are kept or dropped as they are read, and nothing is shuffled.
+    """
+    blocks = list(_blocks(benchmark, block_bytes))
+    if len(blocks) > 1:
+        keyed = documents.withColumn("_row", F.monotonically_increasing_id())
+        hits = find_hits(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, block_bytes=block_bytes)
+        bad = hits.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_row"))
+        return keyed.join(bad, "_row", "left_anti").select(*documents.columns)
+    shared = documents.sparkSession.sparkContext.broadcast(blocks[0][0])
+
+    def clean(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        low = lower_ascii(buf)
+        starts, ends, first = word_spans(_IS_WORD[low], offsets)
+        at, which = shared.value.search(low, starts, ends, first)
+        edges = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + shared.value.sizes[which], -1)
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
+        n_hit, n_words = np.diff(hit[first]), np.diff(first)
+        return ~((n_hit > 0) & (20 * n_hit >= n_words))
+
+    return kept_rows(documents, clean)
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

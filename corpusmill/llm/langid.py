@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import runs
+from corpusmill.llm.arrowtext import kept_rows, runs
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 250
@@ -167,7 +167,7 @@ def _held_out(doc_id: Column, folds: int) -> Column:
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
     """At most ``per_language`` (text, lang) rows of each language, by a hash of the id; the same rows in each run."""
-    rank = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rank = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")))
     rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     if not counts:
@@ -175,7 +175,7 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes:
     # Ranks are uniform: a bound on them keeps about twice as many as are wanted, whatever the table's size.
     bounds = {lang: f"{min(0xFFFFFFFF, int(2.0 * (per_language + 20) / n * 0xFFFFFFFF)):08x}" for lang, n in counts.items()}
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
-    few = rows.select("lang", "text", rank.alias("rank")).where(F.substring("rank", 1, 8) <= bound)
+    few = rows.select("lang", "text", rank.alias("rank")).where(F.substring("rank", 1, 8) <= bound).dropDuplicates(["lang", "rank"])  # repeated rows teach once
     chosen: dict[str, list[tuple[str, str]]] = {}
     for r in few.toLocalIterator():
         chosen.setdefault(r["lang"], []).append((r["rank"], r["text"]))
@@ -216,8 +216,16 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose language is found, with all their columns: neither ``und`` nor a share under ``least_score``."""
-    rows = documents.withColumn("_row", F.monotonically_increasing_id())
-    found = predict(rows.select(F.col("_row").alias("doc_id"), "text"), learn(documents))
-    rejected = found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score)).select(F.col("doc_id").alias("_row"))
-    return rows.join(rejected, "_row", "left_anti").select(*documents.columns)
+    """The rows whose language is found, with all their columns: neither ``und`` nor a share under ``least_score``.
+
+    Rows are kept or dropped as they are read: nothing is shuffled.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents))
+
+    def found(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        model = shared.value
+        if not model.languages:
+            return np.zeros(len(offsets) - 1, bool)
+        return _has_letter(buf, offsets) & (model.shares(buf, offsets).max(axis=1) >= least_score)
+
+    return kept_rows(documents, found)

@@ -205,7 +205,7 @@ def learn(scanned: DataFrame, sample: int = SAMPLE, precision: float = PRECISION
     rank = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("at"), F.col("c.start")))
     bound = f"{min(0xFFFFFFFF, int(sample / max(total, 1) * 0xFFFFFFFF)):08x}"
     rows = rows.select(rank.alias("rank"), F.col("c.meets").cast("double").alias("label"), *[F.col(f"c.{k}") for k in FEATURES], F.col("c.address").cast("double").alias("address"))
-    few = sorted(map(tuple, rows.where(F.substring("rank", 1, 8) <= bound).toLocalIterator()))  # bounded by the sample
+    few = sorted(map(tuple, rows.where(F.substring("rank", 1, 8) <= bound).distinct().toLocalIterator()))  # bounded by the sample
     if not few:
         return None
     y, x = np.array([r[1] for r in few]), np.array([r[2:] for r in few], float)

@@ -10,7 +10,7 @@ every text, whole. Labels, languages, sources and ids are never inputs.
 Defined results:
   * a null text has the statistics of the empty text; both get a score;
   * without labelled rows every score is 0.5; with labels of one class, scores lean to it;
-  * a label of null, or for no document, is not learned from; several labels of a document all count;
+  * a label of null, or for no document, is not learned from; different labels of a document both count, equal ones once;
   * repeated rows give repeated rows; an empty table gives none; other columns are ignored.
 """
 
@@ -233,7 +233,7 @@ def _fold(doc_id: Column) -> Column:
 def learn(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Rule], np.ndarray, float]:
     """Rules from the labelled rows of a table of statistics that aren't held out."""
     rank = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
     n = usable.count()
     # Ranks are uniform: the bound keeps about the sample's size, whatever the table's.
     bound = f"{min(0xFFFFFFFF, int(sample / max(n, 1) * 0xFFFFFFFF)):08x}"
