@@ -35,6 +35,10 @@ from corpusmill.scratch import materialize
 THRESHOLD = (4, 5)  # the similarity as a fraction: comparisons stay in whole numbers
 COUNT_BITS, COUNT_BLOCK = 20, 1 << 14
 HOT = 20_000
+#: So many of a class's pairs, the nearest, are verified first.
+FIRST = 4
+#: Tokens of open classes are sent to the scan that looks for them while there are no more; beyond, they are joined.
+SENT_TOKENS = 1_000_000
 #: Lists of no more classes are compared as a whole; longer ones in blocks, until each class has two pairs.
 LARGE = 2048
 PAIRS = 1 << 20
@@ -176,7 +180,7 @@ def _wide_sketches(h: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.n
     return out, at
 
 
-def _posting_rows(counts: np.ndarray, over: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posting_rows(counts: np.ndarray, over: int, wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offsets in runs(batch.column(4)):
             low = lower_ascii(buf)
@@ -195,10 +199,13 @@ def _posting_rows(counts: np.ndarray, over: int, batches: Iterator[pa.RecordBatc
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             of = np.repeat(np.arange(b - a), size)
             token = h[rank][np.repeat(np.cumsum(n) - n, size) + at]
-            words, begin = _wide_sketches(h, line, n)
-            if over:
-                often = counts[_bucket(token)] > over
-                token, of, at = token[often], of[often], at[often]
+            chosen = counts[_bucket(token)] > over if over else np.ones(len(token), bool)
+            if wanted is not None:
+                chosen &= len(wanted) > 0 and wanted[np.minimum(np.searchsorted(wanted, token.view(np.int64)), len(wanted) - 1)] == token.view(np.int64)
+            if not chosen.any():
+                continue
+            token, of, at = token[chosen], of[chosen], at[chosen]
+            words, begin = (np.empty(0, np.uint64), np.zeros(b - a + 1, np.int64)) if over else _wide_sketches(h, line, n)
             width = np.diff(begin)[of]
             edges = np.concatenate([[0], np.cumsum(width)])
             flat = words[np.arange(edges[-1]) + np.repeat(begin[of] - edges[:-1], width)].view(np.int64)
@@ -321,22 +328,29 @@ def _pair_partition(everything: bool, batches: Iterator[pa.RecordBatch]) -> Iter
             if len(i):
                 yield rows(i, j, np.zeros(len(i), bool))
         return
-    # Of each class, the nearest pair: by distance of sketches, then the earliest.
-    best_i, best_j, best_far, seen = (np.empty(0, np.int64) for _ in range(4))
+    # Of each class, the nearest pairs: by distance of sketches, then the earliest.
+    held_i, held_j, seen = (np.empty(0, np.int64) for _ in range(3))
     for i, j in lists.pairs(False):
         if not len(i):
             continue
-        i, j = np.concatenate([best_i, i]), np.concatenate([best_j, j])
+        n = np.concatenate([seen, np.ones(len(i), np.int64)])
+        i, j = np.concatenate([held_i, i]), np.concatenate([held_j, j])
         far = np.bitwise_count(lists.k[i] ^ lists.k[j]).astype(np.int64)
-        n = np.concatenate([seen, np.ones(len(i) - len(seen), np.int64)])
-        who = np.array([lists.place[i], lists.k[i].view(np.int64)])
-        by = np.lexsort((lists.place[j], far, who[1], who[0]))
-        i, j, far, n, who = i[by], j[by], far[by], n[by], who[:, by]
-        new = np.concatenate([[True], (who[:, 1:] != who[:, :-1]).any(axis=0)])
-        seen = np.add.reduceat(n, np.flatnonzero(new))
-        best_i, best_j, best_far = i[new], j[new], far[new]
-    if len(best_i):
-        yield rows(best_i, best_j, seen > 1)
+        by = np.lexsort((lists.place[j], far, lists.k[i], lists.place[i]))
+        i, j, n = i[by], j[by], n[by]
+        new = np.concatenate([[True], (lists.place[i][1:] != lists.place[i][:-1]) | (lists.k[i][1:] != lists.k[i][:-1])])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(i)))
+        rank = np.arange(len(i)) - np.repeat(first, size)
+        # What isn't held any more counts with the last pair that is.
+        total = np.add.reduceat(n, first)
+        keep = rank < FIRST
+        seen = np.ones(len(i), np.int64)
+        last = first + np.minimum(size, FIRST) - 1
+        seen[last] = total - (np.minimum(size, FIRST) - 1)
+        held_i, held_j, seen = i[keep], j[keep], seen[keep]
+    if len(held_i):
+        yield rows(held_i, held_j, seen > 1)
 
 
 def _words(line: bytes) -> frozenset[bytes]:
@@ -366,14 +380,15 @@ def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "d long, l int, k long").distinct()
 
 
-def _postings(table: DataFrame, counts, over: int = 0) -> DataFrame:
+def _postings(table: DataFrame, counts, over: int = 0, wanted=None) -> DataFrame:
     """(token, d, l, k, n, at): a row for each prefix token of classes that can match others; ``at`` tokens come before it.
 
-    With ``over``, only of tokens that may occur more often: no others can have a longer list.
+    With ``over``, only of tokens that may occur more often, and without sketches: no others can have a longer list.
+    With ``wanted``, a broadcast sorted array, only of those tokens.
     """
     p, q = THRESHOLD
     rows = table.where(F.col("n") * (q - p) >= p)  # smaller sets match their equals only
-    return rows.select("d", "l", "k", "n", "line").mapInArrow(lambda batches: _posting_rows(counts.value, over, batches), _POSTINGS_DDL)
+    return rows.select("d", "l", "k", "n", "line").mapInArrow(lambda batches: _posting_rows(counts.value, over, wanted and wanted.value, batches), _POSTINGS_DDL)
 
 
 def _met(postings: DataFrame, suspects: DataFrame, everything: bool, hot: int) -> DataFrame:
@@ -398,7 +413,12 @@ def matched_classes(table: DataFrame, counts, hot: int = HOT) -> DataFrame:
     if open_.isEmpty():
         return found
     probes = _postings(table.join(open_, keys, "left_semi"), counts)
-    near = _postings(table, counts).join(probes.select("token").distinct(), "token", "left_semi")
+    tokens = materialize(probes.select("token").distinct(), "line-tokens")
+    if tokens.count() <= SENT_TOKENS:
+        wanted = np.sort(np.array([r["token"] for r in tokens.toLocalIterator()], np.int64))
+        near = _postings(table, counts, wanted=table.sparkSession.sparkContext.broadcast(wanted))
+    else:
+        near = _postings(table, counts).join(tokens, "token", "left_semi")
     near = materialize(near.join(open_.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "line-near")
     rest = materialize(_met(near, near, True, hot).drop("more").distinct(), "line-rest")
     return found.unionByName(_verified(rest, table))
