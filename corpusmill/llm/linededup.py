@@ -39,8 +39,8 @@ HOT = 20_000
 FIRST = 4
 #: Tokens of open classes are sent to the scan that looks for them while there are no more; beyond, they are joined.
 SENT_TOKENS = 1_000_000
-#: Lists of no more classes are compared as a whole; longer ones in blocks, until each class has two pairs.
-LARGE = 2048
+#: Lists of no more classes are compared as a whole; longer ones in blocks of ``BLOCK`` against ``STEP``, until each class has more than ``FIRST`` pairs.
+LARGE, BLOCK, STEP = 2048, 512, 2048
 PAIRS = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -285,15 +285,18 @@ class _Lists:
             yield from self._large(lo, hi, upper)
 
     def _large(self, lo: int, hi: int, upper: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of a long list against the members around them, near sizes first, until each has two earlier ones."""
-        block, step = 512, 2048
+        """Blocks of a long list against the members around them, near sizes first.
+
+        A class is left once it has more than ``FIRST`` pairs, no earlier: only then is it marked to have more, and sought again as a whole.
+        """
+        block, step = BLOCK, STEP
         found = np.zeros(hi - lo, np.int64)
         lower = np.searchsorted(upper[lo:hi], np.arange(lo, hi), side="right") + lo  # the first whose sizes reach a member
         for a in range(lo, hi, block):
             mine = np.arange(a, min(a + block, hi))
             from_, to = int(lower[a - lo]), int(upper[mine[-1]])
             for c in sorted(range(from_, to, step), key=lambda c: abs(c + step // 2 - a)):
-                mine = mine[(found[mine - lo] < 2) & self.probe[mine]]
+                mine = mine[(found[mine - lo] <= FIRST) & self.probe[mine]]
                 if not len(mine):
                     break
                 others = np.arange(c, min(c + step, to))

@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from corpusmill.llm import langid, linededup, mixing, pii, quality, simhash, tiffpages, tokenids, warczip
-from corpusmill.llm.arrowtext import runs
+from corpusmill.llm.arrowtext import RollingHash, mix, runs
 
 
 def components(n, links):
@@ -141,6 +141,37 @@ def test_lines(spark, monkeypatch):
         assert {r.doc_id: r.kept for r in linededup.report(df).collect()} == {d: ",".join(k) for d, k in want.items()}
 
 
+def test_long_lists_lose_no_match(monkeypatch):
+    """A line and its only match lie at the two ends of a list, each beside a near miss whose sketch collides: the pair is met, or the line marked.
+
+    In this process, as workers import the module anew.
+    """
+
+    def hashed(word):
+        return RollingHash(np.frombuffer(word.encode(), np.uint8)).of(np.array([0]), np.array([len(word)]))
+
+    same = [w for w in (f"z{i}" for i in range(10_000)) if int(mix(hashed(w) + np.uint64(77))[0] >> np.uint64(58)) == 5]
+    b, c, z = [f"b{i}" for i in range(16)], same[:4], same[4:20]
+    others = [[f"f{i}x{j}" for j in range(20 + i % 3)] for i in range(60)]
+    sets = [["rare", *b, *z[6:13]], ["rare", *b, *z[3:6]], ["rare", *b, *z[:3], *c], *(["rare", *x] for x in others), ["rare", *b, *z[:3]]]
+    matches = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})}
+    assert matches == {(len(sets) - 1, 2)}
+    # Rarity orders prefixes: "rare", then c, z and b; the line and its match share only "rare" of theirs.
+    counts = np.full(1 << linededup.COUNT_BITS, 100, np.uint32)
+    for n, words in ((1, ["rare"]), (10, c), (20, z), (30, b)):
+        for w in words:
+            counts[linededup._bucket(hashed(w))] = n
+    texts = pa.record_batch([pa.array(range(len(sets)), pa.int64()), pa.array([" ".join(x) for x in sets])], names=["d", "text"])
+    lines = [x.select(["d", "l", "k", "n", "line"]) for x in linededup._line_rows(iter([texts]))]
+    met = pa.Table.from_batches(linededup._posting_rows(counts, 0, None, iter(lines)))
+    met = met.add_column(6, "probe", pa.array([True] * len(met))).combine_chunks().to_batches()
+    for large, block, step in ((2048, 512, 2048), (8, 2, 8), (8, 4, 16), (16, 3, 5)):
+        for name, value in (("LARGE", large), ("BLOCK", block), ("STEP", step)):
+            monkeypatch.setattr(linededup, name, value)
+        got = pa.Table.from_batches(linededup._pair_partition(False, iter(met)), schema=linededup._PAIRS).to_pylist()
+        assert matches <= {(r["d1"], r["d2"]) for r in got} or any(r["more"] and r["d1"] == len(sets) - 1 for r in got)
+
+
 def test_mix_takes_targets(spark, documents):
     got = mixing.report(documents).collect()
     by = {}
