@@ -17,14 +17,21 @@ def ngrams(items: Column, n: int, step: int = 1) -> Column:
     return let(items, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.slice(F.array(w), 1, 0)))
 
 
+def _run_keys(items: Column, n: int) -> Column:
+    """The runs of n as strings, equal for equal runs only: arrays are told apart pair by pair, strings by hash."""
+    named = lambda x: F.coalesce(F.concat(F.length(x.cast("string")), F.lit(":"), x.cast("string")), F.lit("-"))
+    keys = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), ""))
+    return let(F.transform(items, named), lambda w: F.when(F.size(w) >= n, keys(w)).otherwise(F.slice(w, 1, 0)))
+
+
 def distinct_ratio(items: Column, n: int) -> Column:
     """Distinct runs of n over all; 0 if there is none."""
-    return let(ngrams(items, n), lambda g: F.coalesce(F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
+    return let(_run_keys(items, n), lambda g: F.coalesce(F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
 
 
 def repeated_share(items: Column, n: int) -> Column:
     """Share of runs of n that repeat an earlier one; 0 if there is none."""
-    return let(ngrams(items, n), lambda g: F.coalesce(1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
+    return let(_run_keys(items, n), lambda g: F.coalesce(1 - F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0)))
 
 
 def repetition_loop(items: Column) -> Column:

@@ -36,9 +36,8 @@ def loss_curve_join(t: Tables):
     SELECT doc_id, len(out) = 0 AS empty, len(w) >= 24 AND len(list_distinct(g3)) / nullif(len(g3), 0) < 0.5 AS loop, contains(t, chr(65533)) AS invalid,
            len(out) >= 8 AND out[1:8] = head AS copies FROM g""")
 def generation_flags(t: Tables):
-    """The first eight words of a text as a prompt, the rest of its head as an output."""
-    head = F.left("text", F.lit(400))
-    rows = t.documents.select("doc_id", head.alias("t"), F.filter(F.split(head, " "), lambda w: w != "").alias("w"))
+    """The first eight words of a text as a prompt, all others as an output. The SQL sees the first 400 characters only."""
+    rows = t.documents.select("doc_id", F.col("text").alias("t"), F.filter(F.split("text", " "), lambda w: w != "").alias("w"))
     out = F.filter("w", lambda w, i: i >= 8)
     rows = rows.select("doc_id", "t", "w", out.alias("out"), F.slice("w", 1, 8).alias("prompt"))
     return rows.select("doc_id", (F.size("out") == 0).alias("empty"), arrays.repetition_loop(F.col("w")).alias("loop"), F.contains("t", F.lit(tx.REPLACEMENT)).alias("invalid"), arrays.copies_tail(F.col("out"), F.col("prompt")).alias("copies"))

@@ -380,7 +380,8 @@ _G = "list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to
     SELECT doc_id, round(coalesce(len(list_distinct(g2)) / nullif(len(g2), 0), 0), 6) AS distinct2, round(coalesce(1 - len(list_distinct(g4)) / nullif(len(g4), 0), 0), 6) AS repeated4,
            n >= 24 AND coalesce(len(list_distinct(g3)) / nullif(len(g3), 0), 0) < 0.5 AS loop FROM g""")
 def repetition_share(t: Tables):
-    x = t.documents.select("doc_id", F.slice(tx.words("text"), 1, 200).alias("w"))
+    """Over all words of a text. The SQL sees the first 200 only."""
+    x = t.documents.select("doc_id", tx.words("text").alias("w"))
     w = F.col("w")
     return x.select("doc_id", F.round(arrays.distinct_ratio(w, 2), 6).alias("distinct2"), F.round(arrays.repeated_share(w, 4), 6).alias("repeated4"), arrays.repetition_loop(w).alias("loop"))
 
