@@ -167,8 +167,8 @@ def train(counted: list[tuple[str, int]], size: int, least: int = 2, split_digit
     return tokens
 
 
-def train_on(texts: DataFrame, size: int, least_piece: int = 2, **options) -> Vocabulary:
-    """Pieces are counted on the cluster; the distinct ones that occur ``least_piece`` times or more are merged on the driver."""
+def train_on(texts: DataFrame, size: int, least_piece: int = 1, **options) -> Vocabulary:
+    """Pieces are counted on the cluster; the distinct ones that occur ``least_piece`` times or more, by default all, are merged on the driver."""
     rows = piece_table(texts).where(F.col("n") >= least_piece)
     return Vocabulary(train(sorted((r["piece"], r["n"]) for r in rows.toLocalIterator()), size, **options))
 

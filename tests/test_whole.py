@@ -1,7 +1,11 @@
 """Queries over whole texts and arrays against plain Python, with what matters behind the places where samples end."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.operators import tokenizer
 from corpusmill.plans import catalogue
 
 
@@ -37,3 +41,42 @@ def test_repetition_of_whole_texts(spark, tmp_path):
         assert shares[i] == {"doc_id": i, "distinct2": pytest.approx(distinct(w, 2), abs=1e-6), "repeated4": pytest.approx(four, abs=1e-6), "loop": loop}
         assert flags[i] == {"doc_id": i, "empty": len(w) <= 8, "loop": loop, "invalid": "�" in text, "copies": len(w) >= 16 and w[8:16] == w[:8]}
     assert shares[1]["loop"] and flags[2]["invalid"]
+
+
+def trained(texts, size):
+    """Every pair of every piece is counted anew for each merge."""
+    words = Counter(tuple(bytes([x]) for x in p.encode()) for t in texts for p in t)
+    tokens = [bytes([i]) for i in range(256)]
+    while len(tokens) < size:
+        count = Counter()
+        for w, n in words.items():
+            for pair in zip(w, w[1:], strict=False):
+                count[pair] += n
+        n, pair = min(((-n, pair) for pair, n in count.items()), default=(0, None))
+        if -n < 2:
+            break
+        if pair[0] + pair[1] not in tokens:
+            tokens.append(pair[0] + pair[1])
+        merged = Counter()
+        for w, n in words.items():
+            new, i = [], 0
+            while i < len(w):
+                both = w[i : i + 2] == pair
+                new.append(pair[0] + pair[1] if both else w[i])
+                i += 2 if both else 1
+            merged[tuple(new)] += n
+        words = merged
+    return tokens
+
+
+def test_vocabulary_of_all_pieces(spark, tmp_path):
+    """Pieces that occur once hold the most frequent pair."""
+    texts = [" ".join(f"{chr(97 + i)}{chr(97 + j)}qx" for j in range(26)) for i in range(8)] + ["low low lower"]
+    folder = written(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    rows = [r[0] for r in spark.read.parquet(f"{folder}/benchmark.parquet").select(tokenizer.pieces(F.col("text"))).collect()]
+    want = trained(rows, 600)
+    got_ = [bytes(r.token) for r in sorted(catalogue.QUERIES["bpe_train"](spark, folder).collect(), key=lambda r: r.id)]
+    assert got_ == want and want[256] == b"qx"
+    ids = tokenizer.Vocabulary(want)
+    sizes = got(spark, folder, "bpe_encode", "doc_id")
+    assert [sizes[i]["n"] for i in range(len(texts))] == [1 + sum(len(ids.encode_piece(p)) for p in row) for row in rows]
