@@ -278,17 +278,17 @@ def jsonl_alias(t: Tables):
     SELECT vec_id, list_count(list_transform(e, lambda x: CASE WHEN x >= floor THEN x END)) AS kept, list_position(e, list_max(e)) - 1 AS best,
            round(list_max(list_transform(e, lambda x: CASE WHEN x > 0 THEN CAST(x AS DOUBLE) / 1.5 ELSE CAST(x AS DOUBLE) * 1.5 END)), 6) AS penalized FROM r""")
 def logits_masks(t: Tables):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    rows = t.embeddings.select("vec_id", e.alias("e"))
+    """Over all scores, all seen. The SQL sees the first 8 only."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     kept = F.size(F.filter(arrays.top_k(F.col("e"), 3), lambda x: x.isNotNull())).cast("long")
-    seen = F.sequence(F.lit(0), F.lit(7))
+    seen = F.transform("e", lambda x, i: i)
     return rows.select("vec_id", kept.alias("kept"), arrays.first_argmax(F.col("e")).alias("best"), F.round(F.array_max(arrays.penalized(F.col("e"), seen, 1.5)), 6).alias("penalized"))
 
 
 @query()
 def nucleus_masks(t: Tables):
     """Sizes of nucleus sets, bans of repeated runs, tails and paddings."""
-    rows = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("e"))
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     ids = F.transform(F.col("e"), lambda x: F.floor(F.abs(x) * 3).cast("int"))
     size = F.size(F.filter(arrays.top_p(F.col("e"), 0.9), lambda x: x.isNotNull()))
     return rows.select("vec_id", size.alias("nucleus"), arrays.let(ids, lambda w: arrays.banned_next(w, 2)).alias("banned"), arrays.tail(ids, 3).alias("tail"), F.size(arrays.padded(ids, 12, F.lit(0))).alias("width"))
@@ -299,9 +299,10 @@ def nucleus_masks(t: Tables):
         round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))) / list_sum(list_transform(range(1, 9), lambda i: pow(CAST(a.embedding[i] AS DOUBLE), 2)))), 6) AS relative
     FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id""")
 def score_differences(t: Tables):
-    e = lambda c: F.slice(F.col(c).cast("array<double>"), 1, 8)
-    a = t.embeddings.select("vec_id", e("embedding").alias("a"))
-    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), e("embedding").alias("b"))
+    """Over all scores. The SQL sees the first 8 only."""
+    e = F.col("embedding").cast("array<double>")
+    a = t.embeddings.select("vec_id", e.alias("a"))
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), e.alias("b"))
     down = lambda c: F.transform(F.col(c), lambda x: F.floor(x))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
     relative = F.sqrt(total(F.zip_with("a", "b", lambda x, y: F.pow(x - y, F.lit(2)))) / total(F.transform("a", lambda x: F.pow(x, F.lit(2)))))

@@ -1,5 +1,7 @@
 """Queries over whole texts and arrays against plain Python, with what matters behind the places where samples end."""
 
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -80,3 +82,32 @@ def test_vocabulary_of_all_pieces(spark, tmp_path):
     ids = tokenizer.Vocabulary(want)
     sizes = got(spark, folder, "bpe_encode", "doc_id")
     assert [sizes[i]["n"] for i in range(len(texts))] == [1 + sum(len(ids.encode_piece(p)) for p in row) for row in rows]
+
+
+def banned(items, n):
+    return sorted({items[i + n - 1] for i in range(len(items) - n + 1) if items[i : i + n - 1] == items[len(items) - n + 1 :]})
+
+
+def test_masks_of_whole_arrays(spark, tmp_path):
+    rng = random.Random(3)
+    vectors = [[round(rng.uniform(-1, 1), 3) for _ in range(64)] for _ in range(20)]
+    vectors[0][40], vectors[1][63] = 5.0, 9.0
+    folder = written(spark, tmp_path, "embeddings", list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    masks, nuclei, differences = (got(spark, folder, f"{name}", "vec_id") for name in ("logits_masks", "nucleus_masks", "score_differences"))
+    for k, e in enumerate(vectors):
+        floor = sorted(e, reverse=True)[2]
+        assert masks[k] == {"vec_id": k, "kept": sum(x >= floor for x in e), "best": e.index(max(e)), "penalized": pytest.approx(max(x / 1.5 if x > 0 else x * 1.5 for x in e), abs=1e-6)}
+        total, mass, size = sum(math.exp(x) for x in e), 0.0, 0
+        for x in sorted(e, reverse=True):
+            if mass >= 0.9:
+                break
+            mass, size = mass + math.exp(x) / total, size + 1
+        ids = [math.floor(abs(x) * 3) for x in e]
+        assert nuclei[k] == {"vec_id": k, "nucleus": size, "banned": banned(ids, 2), "tail": ids[-3:], "width": 64}
+    assert masks[0]["best"] == 40 and masks[1]["best"] == 63
+    assert set(differences) == set(range(19))
+    for k, (a, b) in enumerate(zip(vectors, vectors[1:], strict=False)):
+        far = [abs(x - y) for x, y in zip(a, b, strict=True)]
+        agree = sum(math.floor(x) == math.floor(y) for x, y in zip(a, b, strict=True)) / 64
+        relative = math.sqrt(sum(x * x for x in far) / sum(x * x for x in a))
+        assert differences[k] == {"vec_id": k, "most": pytest.approx(max(far), abs=1e-6), "agree": pytest.approx(agree, abs=1e-6), "relative": pytest.approx(relative, abs=1e-6)}
