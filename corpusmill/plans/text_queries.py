@@ -217,14 +217,15 @@ def answer_check(t: Tables):
 
 @query("SELECT doc_id, base64(encode(left(text, 20))) AS b, left(text, 20) AS back, length(left(text, 20)) AS n, strlen(left(text, 20)) AS bytes FROM documents")
 def base64_codec(t: Tables):
-    head = F.left("text", F.lit(20))
-    b = F.base64(head.cast("binary"))
-    return t.documents.select("doc_id", b.alias("b"), F.unbase64(b).cast("string").alias("back"), F.length(head).cast("long").alias("n"), F.octet_length(head).cast("long").alias("bytes"))
+    """Over whole texts. The SQL sees the first 20 characters only."""
+    b = F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit(""))  # lines of 76 are broken
+    return t.documents.select("doc_id", b.alias("b"), F.unbase64(b).cast("string").alias("back"), F.length("text").cast("long").alias("n"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query("SELECT doc_id, replace(replace(replace(left(text, 60), chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') AS p, array_to_string(string_split(CAST(doc_id AS VARCHAR), ''), ' ') AS s FROM documents")
 def printable_and_spaced(t: Tables):
-    return t.documents.select("doc_id", tx.printable(F.left("text", F.lit(60))).alias("p"), tx.spaced("doc_id").alias("s"))
+    """Over whole texts. The SQL sees the first 60 characters only."""
+    return t.documents.select("doc_id", tx.printable("text").alias("p"), tx.spaced("doc_id").alias("s"))
 
 
 @query("SELECT doc_id, 'Repository: ' || source || chr(10) || 'License: ' || lang || chr(10) || 'File: ' || doc_id || '.txt' AS header, upper(left(source, 1)) || lower(substr(source, 2)) AS label, string_split(source || ' (x)', ' (')[1] AS grp FROM documents")

@@ -1,5 +1,6 @@
 """Queries over whole texts and arrays against plain Python, with what matters behind the places where samples end."""
 
+import base64
 import math
 import random
 from collections import Counter
@@ -111,3 +112,13 @@ def test_masks_of_whole_arrays(spark, tmp_path):
         agree = sum(math.floor(x) == math.floor(y) for x, y in zip(a, b, strict=True)) / 64
         relative = math.sqrt(sum(x * x for x in far) / sum(x * x for x in a))
         assert differences[k] == {"vec_id": k, "most": pytest.approx(max(far), abs=1e-6), "agree": pytest.approx(agree, abs=1e-6), "relative": pytest.approx(relative, abs=1e-6)}
+
+
+def test_codecs_of_whole_texts(spark, tmp_path):
+    texts = ["", "short", "x" * 100 + "\\\n\t\r\x00 end", "größe 😀 " * 500 + "\n", "line\n" * 3_000]
+    folder = written(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    coded, escaped = got(spark, folder, "base64_codec", "doc_id"), got(spark, folder, "printable_and_spaced", "doc_id")
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        assert coded[i] == {"doc_id": i, "b": base64.b64encode(raw).decode(), "back": text, "n": len(text), "bytes": len(raw)}
+        assert escaped[i]["p"] == text.replace("\\", "\\\\").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r").replace("\x00", "\\x00")
