@@ -8,6 +8,7 @@ themselves confirms an occurrence. Texts are cut in stretches that are searched
 Defined results:
   * null or empty text, or one without words: no words, no hits, not contaminated;
   * a benchmark item without words matches nothing; one of fewer words than a window is one window;
+  * an item of null id is searched as all others, and its words count as hit; only its id is not listed nor counted in n_items;
   * items of equal text all count as found; an empty benchmark leaves every document clean;
   * repeated documents give repeated rows; other columns of either table are ignored.
 """
@@ -157,14 +158,12 @@ class WuManber:
 
 
 def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[list[tuple[bytes, ...]], list[list[str]]]:
-    """Distinct windows of the items, and each window's item ids as strings. Items of null id or text give none."""
+    """Distinct windows of the items, and each window's item ids as strings. Items of null text give none; a null id is no window's."""
     owners: dict[tuple[bytes, ...], set[str]] = {}
     for item_id, text in items:
         words = words_of(text)
-        if item_id is None or not words:
-            continue
-        for i in range(max(1, len(words) - window + 1)):
-            owners.setdefault(tuple(words[i : i + window]), set()).add(str(item_id))
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            owners.setdefault(tuple(words[i : i + window]), set()).update([] if item_id is None else [str(item_id)])
     return list(owners), [sorted(x) for x in owners.values()]
 
 
