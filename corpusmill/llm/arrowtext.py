@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices (first, last, bytes, offsets) of a string column, each of about ``run_bytes`` or a single longer text.
+def runs(column: pa.Array, run_bytes: int = RUN_BYTES, run_texts: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices (first, last, bytes, offsets) of a string column, each of about ``run_bytes`` or a single longer text, and of at most ``run_texts`` texts.
 
     ``offsets`` has last - first + 1 entries into ``bytes``. A null counts as an empty text.
     """
@@ -37,7 +38,7 @@ def runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, in
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + run_bytes, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), n, n if run_texts is None else first + run_texts)
         low, high = int(offsets[first]), int(offsets[last])
         yield first, last, data[low:high], offsets[first : last + 1] - low
         first = last
@@ -66,15 +67,25 @@ def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def kept_rows(documents: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again, and what one stage held is not the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library: it frees by itself, or not
+
+
+def kept_rows(documents: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], run_texts: int | None = None) -> DataFrame:
     """The rows of a table for whose text ``keep`` holds, all columns as they are; runs of texts are judged as they are read."""
     at = documents.columns.index("text")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = [keep(buf, offsets) for _, _, buf, offsets in runs(batch.column(at))]
+            flags = [keep(buf, offsets) for _, _, buf, offsets in runs(batch.column(at), run_texts=run_texts)]
             if flags:
                 yield batch.filter(pa.array(np.concatenate(flags)))
+        release()
 
     return documents.mapInArrow(judged, documents.schema)
 

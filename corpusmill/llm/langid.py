@@ -3,19 +3,23 @@
 The kernel of two texts is the number of n-grams that both have, over the root of the product of
 their numbers of n-grams: presence of all n-grams of one to three bytes, a blended spectrum. A set of
 landmark texts spans a Nystrom approximation; kernel ridge regression against all landmarks gives a
-score per language, one against the rest. All texts are scored by products of batches' kernel
-matrices with the learned coefficients.
+score per language, one against the rest.
+
+A text's kernels with all landmarks are its presence vector times the landmarks' presence vectors, each over the root of
+its n-grams' number. N-grams that no landmark has add nothing to a product, but count in the text's own number. As products
+are associative, the landmarks' vectors are multiplied with the learned coefficients once, and batches of presence vectors
+with the result: a weight per n-gram and language. Batches have at most ``BATCH`` texts, whatever their sizes.
 
 Before n-grams are taken, letters A-Z and those of Latin-1 are lower-cased, and every run of other
 ASCII characters becomes one space, so that digits, marks and layout say nothing.
 
-Learning reads a bounded sample of labelled rows: at most ``PER_LANGUAGE`` texts of each language of at most
-``SAMPLE_BYTES`` bytes, chosen by a hash of the id. The scored features are the ``GRAMS`` n-grams that
-most landmarks have. Scoring reads every text whole.
+Learning reads a bounded sample of labelled rows: at most ``PER_LANGUAGE`` texts of each language, chosen by a hash of the
+id, and of each the first ``SAMPLE_CHARS`` characters. Scoring reads every text whole, with all its n-grams.
 
 Defined results:
   * a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned;
   * of languages with equal scores the first by code point is given;
+  * a very long text is scored by all its n-grams, as any other;
   * repeated rows give repeated rows; an empty table gives none; other columns are ignored.
 """
 
@@ -29,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import kept_rows, runs
+from corpusmill.llm.arrowtext import kept_rows, release, runs
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 250
 LANDMARKS_PER_LANGUAGE = 32
-SAMPLE_BYTES = 8192
-GRAMS = 8192
+SAMPLE_CHARS = 8192
+#: Texts whose presence vectors are in memory together.
+BATCH = 64
 RIDGE = 1e-2
 #: Scores are regression values near 0 and 1; this makes them shares that sum to 1.
 SHARPNESS = 8.0
@@ -93,37 +98,36 @@ def _has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Columns of n-grams, landmarks' presence in them, and a coefficient per landmark and language."""
+    """The landmarks' n-grams, and what each adds to each language's score: landmarks' vectors times coefficients."""
 
     languages: list[str]
     grams: np.ndarray
-    landmarks: np.ndarray
-    coefficients: np.ndarray
+    weights: np.ndarray
 
     def __post_init__(self):
         self._column = None
 
-    def presence(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def presence(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of the landmarks' n-grams in each text, and the number of all n-grams that a text has."""
         if self._column is None:
-            self._column = np.full(_UNIVERSE, -1, np.int16)
-            self._column[self.grams] = np.arange(len(self.grams), dtype=np.int16)
-        out = np.zeros((len(offsets) - 1, len(self.grams)), np.float32)
-        flat = out.ravel()
+            self._column = np.full(_UNIVERSE, -1, np.int32)
+            self._column[self.grams] = np.arange(len(self.grams), dtype=np.int32)
+        n = len(offsets) - 1
+        out = np.zeros((n, len(self.grams)), np.float32)
+        flat, others = out.ravel(), np.zeros(n, np.int64)
         symbols, at = _symbols(buf, offsets)
         for text, gram in _grams(symbols, at):
             column = self._column[gram]
             known = column >= 0
             flat[text[known] * len(self.grams) + column[known]] = 1
-        return out
-
-    @staticmethod
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        scale = np.sqrt(np.outer(a.sum(1), b.sum(1)))
-        return (a @ b.T) / np.maximum(scale, 1)
+            if not known.all():  # few: n-grams that no landmark has
+                others += np.bincount(np.unique(text[~known] * _UNIVERSE + gram[~known]) // _UNIVERSE, minlength=n)
+        return out, out.sum(1, dtype=np.float64) + others
 
     def shares(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row per text, a column per language; rows sum to 1."""
-        scores = SHARPNESS * (self.kernel(self.presence(buf, offsets), self.landmarks) @ self.coefficients)
+        present, total = self.presence(buf, offsets)
+        scores = SHARPNESS * (present @ self.weights) / np.sqrt(np.maximum(total, 1))[:, None]
         e = np.exp(scores - scores.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -133,7 +137,12 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
 
 
-def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, grams: int = GRAMS, ridge: float = RIDGE) -> Model:
+def kernel(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The kernel of texts given by presence and number of n-grams."""
+    return (a[0] @ b[0].T).astype(np.float64) / np.sqrt(np.maximum(np.outer(a[1], b[1]), 1))
+
+
+def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """Learns from (text, language) rows; the first rows of each language are its landmarks."""
     languages = sorted({lang for _, lang in rows}, key=lambda x: x.encode())
     marks, count = [], dict.fromkeys(languages, 0)
@@ -142,22 +151,17 @@ def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER
             count[lang] += 1
             marks.append(i)
     if not rows:
-        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
-    buf, offsets = _flat([rows[i][0] for i in marks])
-    symbols, at = _symbols(buf, offsets)
-    pairs = [np.unique(text * _UNIVERSE + gram) % _UNIVERSE for text, gram in _grams(symbols, at)]
-    seen, n = np.unique(np.concatenate(pairs), return_counts=True)
-    chosen = np.sort(seen[np.lexsort((seen, -n))[:grams]])
-    model = Model(languages, chosen, np.empty(0), np.empty(0))
-    everything = np.vstack([model.presence(b, o) for b, o in (_flat([t for t, _ in rows[k : k + 200]]) for k in range(0, len(rows), 200))])
-    model.landmarks = everything[marks]
-    near = model.kernel(everything, model.landmarks).astype(np.float64)
-    among = model.kernel(model.landmarks, model.landmarks).astype(np.float64)
+        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
+    symbols, at = _symbols(*_flat([rows[i][0] for i in marks]))
+    model = Model(languages, np.unique(np.concatenate([gram for _, gram in _grams(symbols, at)])), np.empty(0))
+    landmarks = model.presence(*_flat([rows[i][0] for i in marks]))
+    near = np.vstack([kernel(model.presence(*_flat([t for t, _ in rows[k : k + BATCH]])), landmarks) for k in range(0, len(rows), BATCH)])
     goal = np.array([[float(lang == x) for x in languages] for _, lang in rows])
     weight = np.array([1.0 / np.sqrt(sum(lang == x for _, x in rows)) for _, lang in rows])[:, None]
     near_w, goal_w = near * weight, goal * weight
-    system = near_w.T @ near_w + ridge * among + 1e-8 * np.eye(len(marks))
-    model.coefficients = np.linalg.solve(system, near_w.T @ goal_w).astype(np.float32)
+    system = near_w.T @ near_w + ridge * kernel(landmarks, landmarks) + 1e-8 * np.eye(len(marks))
+    coefficients = np.linalg.solve(system, near_w.T @ goal_w)
+    model.weights = (landmarks[0].T.astype(np.float64) @ (coefficients / np.sqrt(np.maximum(landmarks[1], 1))[:, None])).astype(np.float32)
     return model
 
 
@@ -165,17 +169,17 @@ def _held_out(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """At most ``per_language`` (text, lang) rows of each language, by a hash of the id; the same rows in each run."""
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """At most ``per_language`` (text, lang) rows of each language, by a hash of the id; the same rows in each run. Of a longer text, its beginning teaches."""
     rank = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")))
-    rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     if not counts:
         return []
     # Ranks are uniform: a bound on them keeps about twice as many as are wanted, whatever the table's size.
     bounds = {lang: f"{min(0xFFFFFFFF, int(2.0 * (per_language + 20) / n * 0xFFFFFFFF)):08x}" for lang, n in counts.items()}
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
-    few = rows.select("lang", "text", rank.alias("rank")).where(F.substring("rank", 1, 8) <= bound).dropDuplicates(["lang", "rank"])  # repeated rows teach once
+    few = rows.select("lang", F.left("text", F.lit(sample_chars)).alias("text"), rank.alias("rank")).where(F.substring("rank", 1, 8) <= bound).dropDuplicates(["lang", "rank"])  # repeated rows teach once
     chosen: dict[str, list[tuple[str, str]]] = {}
     for r in few.toLocalIterator():
         chosen.setdefault(r["lang"], []).append((r["rank"], r["text"]))
@@ -188,7 +192,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score",
 def _score_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
     for batch in batches:
-        for a, b, buf, offsets in runs(batch.column(1)):
+        for a, b, buf, offsets in runs(batch.column(1), run_texts=BATCH):
             n = b - a
             best, score = np.full(n, len(model.languages)), np.zeros(n)
             if model.languages:
@@ -196,6 +200,7 @@ def _score_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 best[has] = shares.argmax(axis=1)[has]
                 score[has] = shares.max(axis=1)[has]
             yield pa.record_batch([batch.column(0).slice(a, n), pa.array(names[best], pa.string()), pa.array(score)], schema=_OUT)
+    release()
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -228,4 +233,4 @@ def identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFr
             return np.zeros(len(offsets) - 1, bool)
         return _has_letter(buf, offsets) & (model.shares(buf, offsets).max(axis=1) >= least_score)
 
-    return kept_rows(documents, found)
+    return kept_rows(documents, found, run_texts=BATCH)

@@ -2,8 +2,8 @@
 
 Texts are encoded by a tokenizer file of the ``tokenizers`` library. A text is cut where the
 tokenizer's own pattern always cuts (at ASCII white space, and between ASCII letters, digits and
-punctuation), each distinct piece is encoded once per worker while a bounded memory of pieces
-lasts, and the ids are put together with numpy. The pieces' ids equal the whole text's; a text
+punctuation), each distinct piece is encoded once per task while a memory of ``MEMORY_BYTES``
+lasts, and the ids are put together with numpy. The memory goes when the task ends. The pieces' ids equal the whole text's; a text
 that holds the string of an added token is encoded whole.
 
 Files hold the documents in ascending doc_id order: file k's documents precede file k + 1's, and rows
@@ -11,7 +11,7 @@ are sorted in a file. A row has the document's position in its file, so the glob
 document needs the totals of the files before it and no other document.
 
 Defined results:
-  * a null text is the empty text: its ids are the end id alone;
+  * a null text is the empty text: its ids are the end id alone; a text of any length is encoded whole;
   * rows of equal doc_id follow each other, ordered by a hash of their text; a null doc_id comes first;
   * an empty table gives no rows; other columns are ignored.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import lower_ascii, runs
+from corpusmill.llm.arrowtext import lower_ascii, release, runs
 from corpusmill.scratch import scratch_path
 
 END_ID = 2
-#: Distinct pieces that a worker remembers; beyond them it forgets those not seen since the last time.
-PIECES = 400_000
+#: Bytes that a worker's memory of distinct pieces may take; beyond half of them it forgets the pieces not seen since the last time.
+MEMORY_BYTES = 32 << 20
+#: What a remembered piece takes beside its own bytes and those of its ids: two objects' heads and a place in a table.
+PIECE_BYTES = 200
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 #: About so many documents go to a file.
@@ -42,7 +45,7 @@ DOCS_PER_FILE = 16_384
 #: The files' totals are sent to all executors while there are no more files; beyond, they are joined by file.
 BROADCAST_FILES = 1_000_000
 #: Bytes that are cut and looked up together.
-RUN = 4 << 20
+RUN = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _PUNCT, _QUOTE, _OTHER = range(6)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -73,42 +76,50 @@ class Encoder:
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}  # a piece's ids, as 32-bit integers
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Frees the memory of pieces."""
+        self.known, self.older, self.held = {}, {}, 0
 
     def whole_text(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes new pieces: those of letters alone many at a time, as their last token tells where each ends."""
-        if len(self.known) + len(pieces) > PIECES:
-            self.older, self.known = self.known, {}
-        letters, rest = [], []
-        for p in pieces:
-            (letters if (s := p.decode("utf-8", "replace")).isalpha() else rest).append((p, s))
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of new pieces: of those of letters alone many at a time, as their last token tells where each ends."""
+        texts = b" ".join(pieces).decode("utf-8", "replace").split(" ") if pieces else []
+        out: list[bytes | None] = [None] * len(pieces)
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
         for k in range(0, len(letters), 500):
             part = letters[k : k + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(s for _, s in part), add_special_tokens=False).ids, np.int32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, np.int32)
+            ends = 4 * np.flatnonzero(self.ends_word[ids]) + 4
             if len(ends) == len(part):
-                for (p, _), own in zip(part, np.split(ids, ends[:-1]), strict=True):
-                    self.known[p] = own.tobytes()
+                raw, low = ids.tobytes(), 0
+                for i, high in zip(part, ends.tolist(), strict=True):
+                    out[i] = raw[low:high]
+                    low = high
             else:
                 rest += part
-        for (p, _), e in zip(rest, self.tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.int32).tobytes()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("i", e.ids).tobytes()
+        return out
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        new = []
-        for p in pieces:
-            if p not in self.known:
-                if (old := self.older.get(p)) is None:
-                    new.append(p)
-                else:
-                    self.known[p] = old
-        before = self.known
-        self._learn(new)
-        if self.known is not before:  # the memory began anew
-            return [self.known[p] if p in self.known else before[p] for p in pieces]
-        return [self.known[p] for p in pieces]
+        if 2 * self.held > MEMORY_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+        out = list(map(self.known.get, pieces))
+        asked = [i for i, x in enumerate(out) if x is None]
+        own = [pieces[i] for i in asked]
+        found = list(map(self.older.get, own))
+        fresh = iter(self._encoded([p for p, x in zip(own, found, strict=True) if x is None]))
+        found = [next(fresh) if x is None else x for x in found]
+        self.known.update(zip(own, found, strict=True))
+        self.held += sum(map(len, own)) + sum(map(len, found)) + PIECE_BYTES * len(own)
+        for i, x in zip(asked, found, strict=True):
+            out[i] = x
+        return out
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in ``buf``, one after another, and where each text's begin."""
@@ -173,6 +184,8 @@ def _encode_rows(definition: str, end_id: int, batches: Iterator[pa.RecordBatch]
             columns = [batch.column(0).slice(a, n), pa.array(np.full(n, part, np.int32)), pa.array(start + ends - lengths), pa.array(lengths), lists]
             start += int(ends[-1])
             yield pa.record_batch(columns, schema=_ROWS)
+    encoder.forget()
+    release()
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, files: int | None = None) -> None:

@@ -91,7 +91,7 @@ def test_token_ids(documents, rows):
 
 
 def test_pieces_encode_as_whole_texts(monkeypatch):
-    monkeypatch.setattr(tokenids, "PIECES", 500)
+    monkeypatch.setattr(tokenids, "MEMORY_BYTES", 100_000)
     definition = open(public_tokenizers.path("word_bpe_49k.json")).read()
     t, e, rng = Tokenizer.from_str(definition), tokenids.Encoder(definition), random.Random(1)
     alphabet = [*"abzABZ019'.,!-_ \t\n\r\x0b\x0c\x1c\x00\x85\xa0éÉßİıK—…’̸́ 中文한가😀½²٣ⅣΣς", "'s", "'re", "'LL", "<|endoftext|>", "<|x|>", "<|startoftext|>"]
@@ -315,12 +315,42 @@ def test_quality_held_out(spark):
     assert auc >= 0.95
 
 
-def test_presence_kernel_is_the_number_of_shared_ngrams():
-    texts = [("the cat sat on the mat", "en"), ("der hund lief über die straße", "de")] * 3
-    model = langid.fit(texts, grams=100_000)
-    grams = lambda s: {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
-    buf, offsets = langid._flat(["the dog sat"])
-    p = model.presence(buf, offsets)
-    shared = p @ model.landmarks.T
-    known = set().union(*(grams(t.encode()) for t, _ in texts))
-    assert shared[0, 0] == len(grams(b"the dog sat") & grams(texts[0][0].encode()) & known)
+def _grams(text):
+    low = "".join(c.lower() if c <= "\xde" and c != "\xd7" else c for c in text)  # letters A-Z and those of Latin-1
+    low = re.sub(r"[\x00-\x60\x7b-\x7f]+", " ", low).encode()
+    return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+
+def test_language_scores_are_kernel_ridge_regression(documents):
+    """Scores of the folded product against kernels of plain sets of n-grams, all of them, and a plain solution of the ridge system."""
+    rows = [(r.text, r.lang) for r in documents.limit(60).collect()]
+    model = langid.fit(rows, landmarks_per_language=5)
+    marks = [i for i, (_, lang) in enumerate(rows) if sum(x == lang for _, x in rows[: i + 1]) <= 5]
+    grams = [_grams(t) for t, _ in rows]
+    near = np.array([[len(a & grams[m]) / np.sqrt(len(a) * len(grams[m])) for m in marks] for a in grams])
+    among = near[marks]
+    goal = np.array([[float(lang == x) for x in model.languages] for _, lang in rows])
+    w = 1 / np.array([sum(x == lang for _, x in rows) for _, lang in rows], float)
+    alpha = np.linalg.solve(near.T @ (near * w[:, None]) + langid.RIDGE * among + 1e-8 * np.eye(len(marks)), near.T @ (goal * w[:, None]))
+    held = [r.text for r in documents.offset(60).limit(40).collect()] + ["zzq xqj qqq", "Ω"]
+    for t in held:
+        k = np.array([len(_grams(t) & grams[m]) / np.sqrt(len(_grams(t)) * len(grams[m])) for m in marks]) @ alpha
+        e = np.exp(langid.SHARPNESS * (k - k.max()))
+        np.testing.assert_allclose(model.shares(*langid._flat([t]))[0], e / e.sum(), atol=1e-4)
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, ("der hund lief über die straße " if i % 2 else "the cat sat on the mat ") * 1000, "de" if i % 2 else "en") for i in range(1, 60)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+
+
+def test_many_short_texts_need_little_memory(documents):
+    import tracemalloc
+
+    model = langid.fit([(r.text, r.lang) for r in documents.collect()])
+    texts = pa.record_batch([pa.array(range(10_000), pa.int64()), pa.array(["", "a"] * 5000)], names=["doc_id", "text"])
+    tracemalloc.start()
+    n = sum(x.num_rows for x in langid._score_rows(model, iter([texts])))
+    assert n == 10_000 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
