@@ -83,13 +83,19 @@ def top_k(logits: Column, k: int) -> Column:
 
 def top_p(logits: Column, p: float) -> Column:
     """Logits outside the smallest set, greatest first, whose probability reaches p become null; ties by place."""
-    peak = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))
-    order = F.transform(F.reverse(F.array_sort(F.transform(logits, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))), lambda s: -s["i"])
-    start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("kept"))
-    grow = lambda acc, i: F.when(acc["mass"] < p, F.struct((acc["mass"] + F.exp(F.get(logits, i) - peak) / total).alias("mass"), F.concat(acc["kept"], F.array(i)).alias("kept"))).otherwise(acc)
-    kept = F.aggregate(order, start, grow, lambda acc: acc["kept"])
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x))
+    def masked(xs: Column) -> Column:
+        weights = let(F.array_max(xs), lambda peak: F.transform(xs, lambda x: F.exp(x - peak)))
+        order = F.transform(F.reverse(F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))), lambda s: -s["i"])
+        start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("kept"))
+
+        def kept(w: Column) -> Column:
+            bound = p * F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
+            grow = lambda acc, i, most: F.when(acc["mass"] < most, F.struct((acc["mass"] + F.get(w, i)).alias("mass"), F.concat(acc["kept"], F.array(i)).alias("kept"))).otherwise(acc)
+            return let(bound, lambda most: F.aggregate(order, start, lambda acc, i: grow(acc, i, most), lambda acc: acc["kept"]))
+
+        return let(let(weights, kept), lambda k: F.transform(xs, lambda x, i: F.when(F.array_contains(k, i), x)))
+
+    return let(logits, masked)
 
 
 def penalized(logits: Column, seen: Column, penalty: float) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from corpusmill.functions.arrays import let
 
 #: All characters that count as white space, as code points.
 WHITE_SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -26,9 +32,16 @@ def normal_form(text: Column | str) -> Column:
     return F.trim(replaced(F.lower(_c(text)), f"[{WHITE_SPACE}]+", " "))
 
 
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: unicodedata.normalize("NFKD", x))
+
+
 def title_form(text: Column | str) -> Column:
-    """Lower case; everything but a-z and 0-9 becomes a single space. (Marks are not decomposed.)"""
-    return F.trim(replaced(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9]+", " "))
+    """Compatibility-decomposed and lower-cased; everything but a-z and 0-9, marks too, becomes a single space. Texts of ASCII need no Python."""
+    t = F.coalesce(_c(text), F.lit(""))
+    plain = lambda x: F.trim(replaced(F.lower(x), "[^a-z0-9]+", " "))
+    return F.when(F.length(t) == F.octet_length(t), plain(t)).otherwise(plain(_decomposed(t)))
 
 
 def collapsed_sha256(text: Column | str) -> Column:
@@ -67,7 +80,7 @@ def replacement_count(text: Column | str) -> Column:
 def alpha_ratio(text: Column | str) -> Column:
     """Share of characters that are letters, of any script."""
     t = _c(text)
-    return F.regexp_count(t, F.lit(r"\p{L}")) / F.greatest(F.length(t), F.lit(1))
+    return F.length(replaced(t, r"[^\p{L}]+", "")) / F.greatest(F.length(t), F.lit(1))
 
 
 def words(text: Column | str) -> Column:
@@ -77,8 +90,7 @@ def words(text: Column | str) -> Column:
 
 def share_of(items: Column, listed: list[str], first: int) -> Column:
     """Share of the first items, case ignored, that are listed; null without items."""
-    head = F.slice(items, 1, first)
-    return F.size(F.filter(head, lambda w: F.lower(w).isin(listed))) / F.nullif(F.size(head), F.lit(0))
+    return let(F.slice(items, 1, first), lambda head: F.size(F.filter(head, lambda w: F.lower(w).isin(listed))) / F.nullif(F.size(head), F.lit(0)))
 
 
 def final_number(text: Column | str) -> Column:
@@ -123,11 +135,10 @@ def without_calculations(text: Column | str) -> Column:
 
 
 def printable(text: Column | str) -> Column:
-    """Line feeds, tabs, carriage returns and NUL written as escapes."""
-    t = F.replace(_c(text), F.lit("\\"), F.lit("\\\\"))
-    for char, escape in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\x00", "\\x00")):
-        t = F.replace(t, F.lit(char), F.lit(escape))
-    return t
+    """Bytes outside 32 to 126 written as escapes: those of line feeds, carriage returns and tabs by letter, all others in hex."""
+    runs = F.regexp_extract_all(_c(text), F.lit("[ -~]+|[^ -~]+"), F.lit(0))
+    coded = lambda x: F.replace(F.replace(F.replace(replaced(F.hex(x), "(..)", r"\\x$1"), F.lit(r"\x0A"), F.lit(r"\n")), F.lit(r"\x0D"), F.lit(r"\r")), F.lit(r"\x09"), F.lit(r"\t"))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[ -~]"), x).otherwise(coded(x))), "")
 
 
 def capitalized(label: Column | str) -> Column:

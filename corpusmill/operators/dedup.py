@@ -32,17 +32,28 @@ def reasons(documents: DataFrame, least_chars: int = 200, most_broken: int = 2)
 
     Only documents that pass the other tests make duplicates of later ones.
     """
+    return _with_reason(_judged(documents, least_chars, most_broken))
+
+
+def _judged(documents: DataFrame, least_chars: int = 200, most_broken: int = 2) -> DataFrame:
+    """Adds what a text alone tells: a reason, and the hash of its normal form."""
     t = F.col("text")
     local = filters.first_reason([("empty", filters.is_empty(t)), ("broken", filters.is_broken(t, most_broken)), ("short", filters.is_short(t, least_chars))])
-    rows = documents.withColumns({"_local": local, "_key": F.md5(tx.normal_form(t))})
+    return documents.withColumns({"_local": local, "_key": F.md5(tx.normal_form(t))})
+
+
+def _with_reason(rows: DataFrame) -> DataFrame:
     firsts = rows.where("_local = 'kept'").groupBy("_key").agg(F.min("doc_id").alias("_first"))
     reason = F.when(F.col("_local") != "kept", F.col("_local")).when(F.col("_first") == F.col("doc_id"), "kept").otherwise("duplicate")
     return rows.join(firsts, "_key", "left").withColumn("reason", reason).drop("_local", "_key", "_first")
 
 
 def report(documents: DataFrame, by: str = "source", **options) -> DataFrame:
-    """Documents in, kept and dropped for each reason, by group; documents that are empty aren't counted in."""
-    rows = reasons(documents, **options).where("reason <> 'empty'")
+    """Documents in, kept and dropped for each reason, by group; documents that are empty aren't counted in.
+
+    Texts are read once: their keys and flags are stored, and the rest works on those.
+    """
+    rows = _with_reason(materialize(_judged(documents, **options).select("doc_id", by, "_local", "_key"), "dedup-keys")).where("reason <> 'empty'")
     count = lambda name: F.count(F.when(F.col("reason") == name, 1)).alias(f"n_{name}")
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_in"), *[count(x) for x in ("kept", "duplicate", "broken", "short")])
 
@@ -77,8 +88,8 @@ def first_by_any_key(df: DataFrame, keys: list[str], order: str, rounds: int = 6
 
 
 def shingles(text: Column, k: int = 12, stride: int = 3) -> Column:
-    """Hashes of the runs of k words whose hash is divisible by ``stride``; none for fewer words."""
-    hashes = F.transform(arrays.ngrams(tx.words(F.lower(text)), k), lambda g: F.xxhash64(F.array_join(g, " ")))
+    """Hashes of the runs of k words whose hash is divisible by ``stride``; none for fewer words. A run is hashed by its words' hashes."""
+    hashes = F.transform(arrays.ngrams(F.transform(tx.words(F.lower(text)), lambda w: F.xxhash64(w)), k), lambda g: F.xxhash64(g))
     return F.coalesce(F.array_distinct(F.filter(hashes, lambda h: F.pmod(h, F.lit(stride)) == 0)), F.array().cast("array<bigint>"))
 
 

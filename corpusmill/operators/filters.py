@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.functions.arrays import let
 
 # The words that mark English prose, and the terms that topics are told by.
 STOP_WORDS = "the of and to in is a that for with as are on by this be from an we which at it or can has was were".split()
@@ -44,13 +45,15 @@ def is_short(text: Column, least: int) -> Column:
 
 def quality_reason(text: Column, least_words: int = 1500, least_alpha: float = 0.62, least_stop: float = 0.18, least_topic: int = 3, topic: str = TOPIC_TERMS) -> Column:
     """Why a text isn't prose on a topic, or null: words, letters, English stop words in the first 4,000, topic terms."""
-    items = tx.words(text)
-    return (
-        F.when(F.size(items) < least_words, "short")
-        .when(tx.alpha_ratio(text) < least_alpha, "low_alpha")
-        .when(tx.share_of(items, STOP_WORDS, 4000) < least_stop, "not_english")
-        .when(F.regexp_count(text, F.lit(f"(?i){topic}")) < least_topic, "off_topic")
-    )
+    def told(items: Column) -> Column:
+        return (
+            F.when(F.size(items) < least_words, "short")
+            .when(tx.alpha_ratio(text) < least_alpha, "low_alpha")
+            .when(tx.share_of(items, STOP_WORDS, 4000) < least_stop, "not_english")
+            .when(F.regexp_count(text, F.lit(f"(?i){topic}")) < least_topic, "off_topic")
+        )
+
+    return let(tx.words(text), told)
 
 
 def path_reason(path: Column, text: Column, extensions: list[str], least: int = 80, most: int = 400_000, longest_line: int = 2000) -> Column:

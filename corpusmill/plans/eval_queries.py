@@ -274,32 +274,38 @@ def jsonl_alias(t: Tables):
     return picked.select(F.get(k, F.lit(0)).cast("long").alias("conv_id"), F.get(k, F.lit(1)).cast("long").alias("turn"), "prompt", "response")
 
 
-@query("""WITH s AS (SELECT vec_id, embedding[1:8] AS e FROM embeddings), r AS (SELECT vec_id, e, list_sort(e, 'DESC')[3] AS floor FROM s)
+@query("""WITH s AS (SELECT vec_id, embedding AS e FROM embeddings), r AS (SELECT vec_id, e, list_sort(e, 'DESC')[3] AS floor FROM s)
     SELECT vec_id, list_count(list_transform(e, lambda x: CASE WHEN x >= floor THEN x END)) AS kept, list_position(e, list_max(e)) - 1 AS best,
            round(list_max(list_transform(e, lambda x: CASE WHEN x > 0 THEN CAST(x AS DOUBLE) / 1.5 ELSE CAST(x AS DOUBLE) * 1.5 END)), 6) AS penalized FROM r""")
 def logits_masks(t: Tables):
-    """Over all scores, all seen. The SQL sees the first 8 only."""
+    """Over all scores, all seen."""
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     kept = F.size(F.filter(arrays.top_k(F.col("e"), 3), lambda x: x.isNotNull())).cast("long")
     seen = F.transform("e", lambda x, i: i)
     return rows.select("vec_id", kept.alias("kept"), arrays.first_argmax(F.col("e")).alias("best"), F.round(F.array_max(arrays.penalized(F.col("e"), seen, 1.5)), 6).alias("penalized"))
 
 
-@query()
+@query("""
+    WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e, list_transform(embedding, lambda v: CAST(floor(abs(v) * 3) AS INT)) AS ids FROM embeddings),
+    p AS (SELECT vec_id, unnest(e) AS v, generate_subscripts(e, 1) AS i, list_max(e) AS peak FROM x),
+    m AS (SELECT vec_id, exp(v - peak) AS w, sum(exp(v - peak)) OVER (PARTITION BY vec_id) AS total,
+                 coalesce(sum(exp(v - peak)) OVER (PARTITION BY vec_id ORDER BY v DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+    n AS (SELECT vec_id, count(*) FILTER (before / total < 0.9 - 1e-12) AS nucleus FROM m GROUP BY vec_id),
+    b AS (SELECT vec_id, list_sort(list_distinct(list_filter(list_transform(range(1, len(ids)), lambda i: CASE WHEN ids[i] = ids[-1] THEN ids[i + 1] END), lambda v: v IS NOT NULL))) AS banned, ids[-3:] AS tail, greatest(len(ids), 72) AS width FROM x)
+    SELECT vec_id, CAST(nucleus AS INT) AS nucleus, banned, tail, CAST(width AS INT) AS width FROM n JOIN b USING (vec_id)""")
 def nucleus_masks(t: Tables):
     """Sizes of nucleus sets, bans of repeated runs, tails and paddings."""
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     ids = F.transform(F.col("e"), lambda x: F.floor(F.abs(x) * 3).cast("int"))
     size = F.size(F.filter(arrays.top_p(F.col("e"), 0.9), lambda x: x.isNotNull()))
-    return rows.select("vec_id", size.alias("nucleus"), arrays.let(ids, lambda w: arrays.banned_next(w, 2)).alias("banned"), arrays.tail(ids, 3).alias("tail"), F.size(arrays.padded(ids, 12, F.lit(0))).alias("width"))
+    return rows.select("vec_id", size.alias("nucleus"), arrays.let(ids, lambda w: arrays.banned_next(w, 2)).alias("banned"), arrays.tail(ids, 3).alias("tail"), F.size(arrays.padded(ids, 72, F.lit(0))).alias("width"))
 
 
-@query("""SELECT a.vec_id, round(list_max(list_transform(range(1, 9), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS most,
-        round(list_sum(list_transform(range(1, 9), lambda i: CAST(floor(a.embedding[i]) = floor(b.embedding[i]) AS INT))) / 8, 6) AS agree,
-        round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))) / list_sum(list_transform(range(1, 9), lambda i: pow(CAST(a.embedding[i] AS DOUBLE), 2)))), 6) AS relative
+@query("""SELECT a.vec_id, round(list_max(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS most,
+        round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(floor(a.embedding[i]) = floor(b.embedding[i]) AS INT))) / len(a.embedding), 6) AS agree,
+        round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))) / list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE), 2)))), 6) AS relative
     FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id""")
 def score_differences(t: Tables):
-    """Over all scores. The SQL sees the first 8 only."""
     e = F.col("embedding").cast("array<double>")
     a = t.embeddings.select("vec_id", e.alias("a"))
     b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), e.alias("b"))

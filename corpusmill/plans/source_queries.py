@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import logs, tokenizer
@@ -11,11 +12,11 @@ from corpusmill.plans.registry import Tables, query
 from corpusmill.sources import documents as src
 
 
-@query("""SELECT doc_id, list_position(l, x) - 1 AS first, x AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1] AS x FROM documents)""")
+@query("""SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents)""")
 def line_docs(t: Tables):
-    """The first document of each text that is read as a document per line."""
-    lines = src.by_line(F.col("text"))
-    return t.documents.select("doc_id", F.posexplode(lines).alias("first", "line")).where("first = 0").select("doc_id", F.col("first").cast("long").alias("first"), "line")
+    """Texts that are read as a document per line."""
+    rows = t.documents.select("doc_id", F.posexplode(src.by_line(F.col("text"))).alias("pos", "line"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
 
 
 @query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS n, max(length(d)) AS longest FROM (SELECT doc_id, unnest(string_split_regex(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\\n(?:[ \\t]*\\n)+')) AS d FROM documents) WHERE trim(d) <> '' GROUP BY doc_id""")
@@ -36,18 +37,26 @@ def marker_docs(t: Tables):
     return docs.select("conv_id", F.trim(F.regexp_extract("d", r"(?s)^[0-9]+\t[ \n]*(.*)$", 1)).alias("text"), F.regexp_extract("d", r"^([0-9]+)\t", 1).cast("long").alias("turn")).where("text <> ''")
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
+_TURNS = """WITH x AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(10)) AS text FROM conversations)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text FROM x WHERE text <> ''"""
+
+
+def _turns(t: Tables, line) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("x"))))["x"].alias("xs"))
+
+
+@query(_TURNS)
 def separator_docs(t: Tables):
-    """Turns between separator lines."""
-    rows = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n<|endoftext|>\n").alias("text"))
-    return rows.select("conv_id", F.size(src.by_separator(F.col("text"))).cast("long").alias("n"))
+    """Turns between separator lines, blank lines inside them kept."""
+    rows = _turns(t, F.col("text")).select("conv_id", F.array_join("xs", "\n<|endoftext|>\n").alias("text"))
+    return rows.select("conv_id", F.posexplode(src.by_separator(F.col("text"))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
+@query(_TURNS)
 def header_docs(t: Tables):
-    """Turns behind header lines."""
-    rows = t.conversations.groupBy("conv_id").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("chempile-"), F.col("role"), F.lit("\n"), F.col("text")))).alias("text"))
-    return rows.select("conv_id", F.size(src.by_header(F.col("text"), "chempile-")).cast("long").alias("n"))
+    """Turns behind header lines, which are dropped."""
+    rows = _turns(t, F.concat(F.lit("chempile-"), "role", F.lit("\n"), "text")).select("conv_id", F.array_join("xs", "\n").alias("text"))
+    return rows.select("conv_id", F.posexplode(src.by_header(F.col("text"), "chempile-")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""SELECT doc_id, md5(CASE WHEN len(string_split(text, chr(10))) < 3 THEN '' ELSE array_to_string(string_split(text, chr(10))[2:-2], chr(10)) END) AS h FROM documents""")
@@ -73,11 +82,13 @@ def v4_text(t: Tables):
     return t.benchmark.select("item_id", src.entity_text(F.concat(F.lit("d"), i), body).alias("text"))
 
 
-@query("SELECT page_id, '# ' || page_id || chr(10) || chr(10) || 'x = ' || page_id AS text FROM pages")
+@query("SELECT page_id, CASE page_id % 2 WHEN 0 THEN '# [markdown]' || chr(10) || page_id || chr(10) || 'two' ELSE '# [markdown]' || chr(10) || page_id END || chr(10) || chr(10) || 'x = ' || page_id AS text FROM pages")
 def notebook_text(t: Tables):
+    """Sources as lists of lines and as plain strings; blank cells go."""
     i = F.col("page_id").cast("string")
-    raw = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":["'), i, F.lit('"]},{"cell_type":"code","source":[" "]},{"cell_type":"code","source":["x = ","'), i, F.lit('"]}]}'))
-    return t.pages.select("page_id", src.notebook_text(raw).alias("text"))
+    lists = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":["'), i, F.lit('\\n","two"]},{"cell_type":"code","source":[" "]},{"cell_type":"code","source":["x = ","'), i, F.lit('"]}]}'))
+    strings = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":"'), i, F.lit('"},{"cell_type":"raw","source":""},{"cell_type":"raw"},{"cell_type":"code","source":"x = '), i, F.lit('"}]}'))
+    return t.pages.select("page_id", src.notebook_text(F.when(F.col("page_id") % 2 == 0, lists).otherwise(strings)).alias("text"))
 
 
 @query("SELECT item_id, upper(left(text, 5)) || chr(10) || chr(10) || 'Methods: ' || text || chr(10) || text AS text FROM benchmark")
@@ -159,9 +170,11 @@ def tokenisation_stats(t: Tables):
     return x.agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("id").alias("used"), F.round(F.avg((F.col("id") < 5).cast("int")), 9).alias("low_share"))
 
 
-@query("SELECT doc_id, crc32c FROM (SELECT doc_id, sha1(text) AS crc32c FROM documents)")
+@query()
 def file_digests(t: Tables):
-    return t.documents.select("doc_id", F.sha1("text").alias("crc32c"))
+    """SHA-256 of the files that the small tables lie in; the path is no table's column, so SQL can't say it."""
+    found = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load([f"{t.folder}/{x}.parquet" for x in ("region", "nation", "benchmark", "labels")])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 @query("""WITH d AS (SELECT doc_id, sha256(text || '|v1') AS fp FROM documents), done AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE fp END AS fp FROM d WHERE doc_id % 3 <> 0 OR doc_id % 9 = 0)
@@ -174,8 +187,8 @@ def resume_todo(t: Tables):
     return d.join(done, ["doc_id", "fp"], "left_anti").select("doc_id")
 
 
-@query()
+@query("""SELECT 'finite' AS "check", bool_and(isfinite(value)) AS passed FROM events UNION ALL SELECT 'progress', max(event_id) > 0 FROM events UNION ALL SELECT 'small', max(value) < 1 FROM events""")
 def training_gates(t: Tables):
     """A run's series as named checks."""
     v = F.col("value")
-    return logs.gate([("finite", F.bool_and(~F.isnan(v))), ("progress", F.max("event_id") > 0)], t.events)
+    return logs.gate([("finite", F.bool_and(~F.isnan(v) & (F.abs(v) != float("inf")))), ("progress", F.max("event_id") > 0), ("small", F.max("value") < 1)], t.events)

@@ -9,6 +9,7 @@ from corpusmill.functions import arrays
 from corpusmill.functions import text as tx
 from corpusmill.operators import dedup, filters, ngrams, sampling
 from corpusmill.plans.registry import Tables, query
+from corpusmill.scratch import materialize
 
 # The same expressions in DuckDB.
 WS = tx.WHITE_SPACE
@@ -72,7 +73,7 @@ def dedup_text_or_title(t: Tables):
     SELECT doc_id, coalesce(n, 0) AS shingles, coalesce(seen, 0) AS seen, dup OR (coalesce(n, 0) > 0 AND seen >= 0.3 * n) AS drops FROM x LEFT JOIN s USING (doc_id)""")
 def near_dup_round1(t: Tables):
     """The first round of the greedy rule, with every shingle: which documents an earlier one covers."""
-    base = t.documents.select("doc_id", F.md5(tx.normal_form("text")).alias("e"), dedup.shingles(F.col("text"), 12, 1).alias("s"))
+    base = materialize(t.documents.select("doc_id", F.md5(tx.normal_form("text")).alias("e"), dedup.shingles(F.col("text"), 12, 1).alias("s")), "near-base")
     g = base.select("doc_id", F.explode("s").alias("h"))
     first = g.groupBy("h").agg(F.min("doc_id").alias("first"))
     seen = g.join(first, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("first") < F.col("doc_id"), 1)).alias("seen"))
@@ -115,9 +116,16 @@ def stopword_share(t: Tables):
     return t.documents.select("doc_id", F.round(tx.share_of(tx.words("text"), filters.STOP_WORDS, 4000), 6).alias("share"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(license|copyright|rights)\\b')) AS hits FROM documents")
+_TOPICS = [" physics-informed", " PINNs learn a neural operator", " DeepONet, neural PDE and Neural ODE", ""]
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(text || [{", ".join(f"'{x}'" for x in _TOPICS)}][1 + doc_id % 4], '(?i){filters.TOPIC_TERMS}')) AS hits,
+        len(regexp_extract_all(text, '(?i)\\b(license|copyright|rights)\\b')) AS licence_hits FROM documents""")
 def topic_hits(t: Tables):
-    return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"(?i)\b(license|copyright|rights)\b")).cast("long").alias("hits"))
+    """How often a text names a topic; texts get terms behind them by id."""
+    x = F.concat("text", F.element_at(F.array(*[F.lit(v) for v in _TOPICS]), (F.col("doc_id") % 4 + 1).cast("int")))
+    n = lambda c, p: F.regexp_count(c, F.lit(f"(?i){p}")).cast("long")
+    return t.documents.select("doc_id", n(x, filters.TOPIC_TERMS).alias("hits"), n(F.col("text"), r"\b(license|copyright|rights)\b").alias("licence_hits"))
 
 
 @query(f"SELECT item_id, CASE WHEN regexp_matches(text, '(?i){filters.EARTH_TERMS}') THEN 'earth' ELSE 'other' END AS route FROM benchmark")
@@ -153,9 +161,10 @@ def normal_forms(t: Tables):
     return t.documents.select("doc_id", F.md5(tx.normal_form("text")).alias("norm"), tx.collapsed_sha256("text").alias("sha"))
 
 
-@query("SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title FROM benchmark")
+@query(r"""SELECT doc_id, trim(regexp_replace(strip_accents(regexp_replace(lower(text), '([\x{e0}-\x{e5}\x{e7}-\x{ef}\x{f1}-\x{f6}\x{f9}-\x{fd}\x{ff}])', '\1 ', 'g')), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents""")
 def title_norm(t: Tables):
-    return t.benchmark.select("item_id", tx.title_form("text").alias("title"))
+    """A letter with a mark is decomposed; the mark, like all that is no letter or digit, becomes a space."""
+    return t.documents.select("doc_id", tx.title_form("text").alias("title"))
 
 
 @query(f"""
@@ -173,11 +182,17 @@ def truncate_boundary(t: Tables):
     return t.documents.select("doc_id", tx.boundary_truncate("text", 1000).alias("x")).select("doc_id", F.md5("x.text").alias("h"), "x.cut")
 
 
-@query("""
-    SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+_HEADED = "text || repeat(chr(10) || ' Running head ' || doc_id % 5, 1 + doc_id % 4) || repeat(chr(10) || 'It ends here.', 3)"
+
+
+@query(f"""
+    SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split({_HEADED}, chr(10)))) AS line FROM documents)
     WHERE length(line) > 0 AND length(line) < 120 AND NOT ends_with(line, '.') GROUP BY ALL HAVING count(*) >= 3""")
 def repeated_lines(t: Tables):
-    return dedup.repeated_lines(t.documents)
+    """Texts with a running head one to four times, and a sentence three times, behind them."""
+    i = F.col("doc_id")
+    head = F.repeat(F.concat(F.lit("\n Running head "), i % 5), (1 + i % 4).cast("int"))
+    return dedup.repeated_lines(t.documents.select("doc_id", F.concat("text", head, F.lit("\nIt ends here." * 3)).alias("text")))
 
 
 @query("""
@@ -195,37 +210,49 @@ def last_number(t: Tables):
     return t.benchmark.select("item_id", F.get(F.filter(F.split("text", "[.] "), lambda s: s != ""), F.lit(0)).alias("head"), F.coalesce(tx.final_number(x), F.lit(0.0)).alias("number"))
 
 
-@query("SELECT item_id, replace(CAST(item_id * 1234 AS VARCHAR), ',', '') AS number, text || ' done' AS worked FROM benchmark")
+@query("""SELECT item_id, CASE item_id % 3 WHEN 0 THEN CAST(item_id * 1234 AS VARCHAR) WHEN 1 THEN '-' || item_id || '.5' ELSE replace(trim(text || ' done'), ',', '') END AS number,
+        text || CASE item_id % 3 WHEN 0 THEN ' done' WHEN 1 THEN ' a b' ELSE ' done' END AS worked FROM benchmark""")
 def gsm8k_number(t: Tables):
-    n = F.format_number(F.col("item_id") * 1234, 0)
-    x = F.concat("text", F.lit("<<1+1=2>> done"))
-    return t.benchmark.select("item_id", tx.worked_number(F.concat(x, F.lit(" #### "), n)).alias("number"), tx.without_calculations(x).alias("worked"))
+    """Solutions with a number behind the mark, with two marks of which the last counts, and without one: the text."""
+    i = F.col("item_id")
+    x = F.concat("text", F.when(i % 3 == 1, " a<<2*3=6>><<6>> b").otherwise("<<1+1=2>> done"))
+    worked = tx.without_calculations(x)
+    said = F.when(i % 3 == 0, F.concat(x, F.lit(" #### "), F.format_number(i * 1234, 0))).when(i % 3 == 1, F.concat(x, F.lit(" #### 7 #### -"), i, F.lit(".5"))).otherwise(worked)
+    return t.benchmark.select("item_id", F.replace(tx.worked_number(said), F.lit(","), F.lit("")).alias("number"), worked.alias("worked"))
 
 
-@query("SELECT item_id, text AS code, lower(text) AS plain FROM benchmark")
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN 'x = ' || item_id WHEN 2 THEN text ELSE 'see' || chr(10) || '```open' || chr(10) || text END AS code FROM benchmark")
 def fence_extract(t: Tables):
-    fenced = F.concat(F.lit("see\n```python\n"), F.col("text"), F.lit("\n```\nend"))
-    return t.benchmark.select("item_id", tx.code_block(fenced).alias("code"), F.lower(tx.code_block("text")).alias("plain"))
+    """A named block, the first of two blocks, no block, and one that is never closed."""
+    i, text = F.col("item_id"), F.col("text")
+    fenced = F.concat(F.lit("see\n```python\n\n"), text, F.lit("\n\n```\nend"))
+    two = F.concat(F.lit("```\nx = "), i, F.lit("\n```\nthen\n```c++\ny\n```"))
+    said = F.when(i % 4 == 0, fenced).when(i % 4 == 1, two).when(i % 4 == 2, text).otherwise(F.concat(F.lit("see\n```open\n"), text))
+    return t.benchmark.select("item_id", tx.code_block(said).alias("code"))
 
 
-@query("SELECT item_id, true AS number_ok, true AS text_ok, false AS wrong FROM benchmark")
+@query("""SELECT item_id, item_id % 6 IN (0, 1, 3, 4) AS matches FROM benchmark""")
 def answer_check(t: Tables):
-    n = F.col("item_id").cast("string")
-    said = F.concat(F.lit("We get 3. The answer is "), n, F.lit("."))
-    return t.benchmark.select("item_id", tx.answer_matches(said, n).alias("number_ok"), tx.answer_matches(F.col("text"), F.left("text", F.lit(9))).alias("text_ok"), tx.answer_matches(said, F.concat(n, F.lit("1"))).alias("wrong"))
+    """Numbers: the last one, with digit groups, the wrong one, nearly equal; words: in another case, and absent."""
+    i, n = F.col("item_id") % 6, F.col("item_id") + 1234
+    number = n.cast("string")
+    said = F.when(i == 0, F.concat(F.lit("We get 3. The answer is "), number, F.lit("."))).when(i == 1, F.concat(F.lit("so = "), F.format_number(n, 0)))
+    said = said.when(i == 2, F.concat(F.lit("The answer is "), number, F.lit(" or rather: answer is 5"))).when(i == 3, F.concat(F.lit("= "), number, F.lit(".0000001"))).otherwise(F.concat("text", F.lit(" the Answer "), number))
+    want = F.when(i < 4, number).when(i == 4, F.concat(F.lit(" THE answer "), number, F.lit(" "))).otherwise(F.concat(F.lit("no such answer "), number))
+    return t.benchmark.select("item_id", tx.answer_matches(said, want).alias("matches"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 20))) AS b, left(text, 20) AS back, length(left(text, 20)) AS n, strlen(left(text, 20)) AS bytes FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS b, text AS back, length(text) AS n, strlen(text) AS bytes FROM documents")
 def base64_codec(t: Tables):
-    """Over whole texts. The SQL sees the first 20 characters only."""
     b = F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit(""))  # lines of 76 are broken
     return t.documents.select("doc_id", b.alias("b"), F.unbase64(b).cast("string").alias("back"), F.length("text").cast("long").alias("n"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("SELECT doc_id, replace(replace(replace(left(text, 60), chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') AS p, array_to_string(string_split(CAST(doc_id AS VARCHAR), ''), ' ') AS s FROM documents")
+@query(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text || chr(9) || 'a\b', '[ -~]+|[^ -~]'), lambda x: CASE WHEN x = chr(10) THEN '\n' WHEN x = chr(13) THEN '\r' WHEN x = chr(9) THEN '\t'
+        WHEN regexp_matches(x, '^[ -~]') THEN x ELSE regexp_replace(hex(encode(x)), '(..)', '\\x\1', 'g') END), '') AS p, array_to_string(string_split(CAST(doc_id AS VARCHAR), ''), ' ') AS s FROM documents""")
 def printable_and_spaced(t: Tables):
-    """Over whole texts. The SQL sees the first 60 characters only."""
-    return t.documents.select("doc_id", tx.printable("text").alias("p"), tx.spaced("doc_id").alias("s"))
+    """Bytes outside 32 to 126 as escapes; a backslash stays."""
+    return t.documents.select("doc_id", tx.printable(F.concat("text", F.lit("\ta\\b"))).alias("p"), tx.spaced("doc_id").alias("s"))
 
 
 @query("SELECT doc_id, 'Repository: ' || source || chr(10) || 'License: ' || lang || chr(10) || 'File: ' || doc_id || '.txt' AS header, upper(left(source, 1)) || lower(substr(source, 2)) AS label, string_split(source || ' (x)', ' (')[1] AS grp FROM documents")
@@ -377,11 +404,10 @@ _G = "list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to
 
 
 @query(f"""
-    WITH x AS (SELECT doc_id, ({_WORDS})[1:200] AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, {_G.format(n=2)} AS g2, {_G.format(n=4)} AS g4, {_G.format(n=3)} AS g3 FROM x)
+    WITH x AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, {_G.format(n=2)} AS g2, {_G.format(n=4)} AS g4, {_G.format(n=3)} AS g3 FROM x)
     SELECT doc_id, round(coalesce(len(list_distinct(g2)) / nullif(len(g2), 0), 0), 6) AS distinct2, round(coalesce(1 - len(list_distinct(g4)) / nullif(len(g4), 0), 0), 6) AS repeated4,
            n >= 24 AND coalesce(len(list_distinct(g3)) / nullif(len(g3), 0), 0) < 0.5 AS loop FROM g""")
 def repetition_share(t: Tables):
-    """Over all words of a text. The SQL sees the first 200 only."""
     x = t.documents.select("doc_id", tx.words("text").alias("w"))
     w = F.col("w")
     return x.select("doc_id", F.round(arrays.distinct_ratio(w, 2), 6).alias("distinct2"), F.round(arrays.repeated_share(w, 4), 6).alias("repeated4"), arrays.repetition_loop(w).alias("loop"))

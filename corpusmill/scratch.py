@@ -72,6 +72,21 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of fewer bytes a core may lie in a few row groups, and is dealt to all cores; a larger one has row groups enough.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table's rows over all cores, where it is small and lies in fewer files than there are cores; any other as it is.
+
+    A row group is one task's work, however many cores wait. What is dealt anew is bounded by ``SPREAD_BYTES`` a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def _is_parquet_scan(df: DataFrame) -> bool:
     """Whether rows come straight from Parquet files, at most filtered and projected."""
     plan = df._jdf.queryExecution().analyzed()

@@ -141,11 +141,13 @@ def entity_text(description: Column, properties: Column) -> Column:
 
 
 def notebook_text(raw: Column) -> Column:
-    """Cells that aren't empty, joined by blank lines; those of text are commented."""
-    cells = F.from_json(raw, "struct<cells:array<struct<cell_type:string,source:array<string>>>>")["cells"]
-    source = lambda c: F.array_join(c["source"], "")
-    full = F.filter(cells, lambda c: F.trim(source(c)) != "")
-    return F.array_join(F.transform(full, lambda c: F.when(c["cell_type"] == "markdown", F.concat(F.lit("# "), F.replace(source(c), F.lit("\n"), F.lit("\n# ")))).otherwise(source(c))), "\n\n")
+    """Cells that aren't blank, joined by blank lines; those of text are marked. A source is a string or a list of lines; null if there is no JSON."""
+    lines = lambda c: F.try_variant_get(c, "$.source", "array<string>")
+    source = lambda c: F.coalesce(F.array_join(lines(c), ""), F.try_variant_get(c, "$.source", "string"), F.lit(""))
+    cells = F.transform(F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.cells", "array<variant>"), F.array().cast("array<variant>")), lambda c: F.struct(F.try_variant_get(c, "$.cell_type", "string").alias("kind"), source(c).alias("text")))
+    full = F.filter(cells, lambda c: tx.replaced(c["text"], f"[{tx.WHITE_SPACE}]+", "") != "")
+    text = F.array_join(F.transform(full, lambda c: F.concat(F.when(c["kind"].eqNullSafe("markdown"), "# [markdown]\n").otherwise(""), c["text"])), "\n\n")
+    return F.when(F.try_parse_json(raw).isNotNull(), text)
 
 
 def paper_text(title: Column, sections: Column) -> Column:
