@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import RollingHash, kept_rows, lower_ascii, mix, runs, word_spans
+from corpusmill.llm.arrowtext import RollingHash, kept_rows, lower_ascii, mix, release, runs, word_spans
+from corpusmill.scratch import materialize, numbered
 
 #: Words: runs of 0-9, a-z and of all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: A benchmark of more bytes is searched in several blocks, each of which is as small as that.
-BLOCK_BYTES = 32 << 20
+#: A benchmark of more bytes is searched in several blocks, each of about that many: a block's tables take some hundred times its bytes.
+BLOCK_BYTES = 1 << 20
 #: Where the searched stretches of a text begin, in words.
 STRETCH = 256
 
@@ -167,7 +168,7 @@ def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) ->
     return list(owners), [sorted(x) for x in owners.values()]
 
 
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("ranges", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_SCANNED = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("ranges", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.string()))])
 _SCANNED_DDL = "doc_id long, n_words long, n_hit long, ranges array<struct<low:long,high:long>>, items array<string>"
 
 
@@ -188,17 +189,21 @@ def _scan(matcher: WuManber, owners: list[list[str]], batches: Iterator[pa.Recor
                 else:
                     ranges[d].append({"low": from_word, "high": to_word})
                 items[d].update(owners[w])
-            columns = [batch.column(0).slice(a, b - a).cast(pa.int64()), np.diff(first), [sum(x["high"] - x["low"] for x in r) for r in ranges], ranges, [sorted(x) for x in items]]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SCANNED, strict=True)], schema=_SCANNED)
+            columns = [np.diff(first), [sum(x["high"] - x["low"] for x in r) for r in ranges], ranges, [sorted(x) for x in items]]
+            yield pa.record_batch([batch.column(0).slice(a, b - a), *(pa.array(c, f.type) for c, f in zip(columns, _SCANNED, strict=True))], names=["doc_id", *_SCANNED.names])
+    release()
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, window: int = WINDOW) -> Iterator[tuple[WuManber, list[list[str]]]]:
-    """Search tables for the benchmark: for all of it where its measured size allows, else for hashed parts of it."""
+def _parts(benchmark: DataFrame, block_bytes: int) -> int:
+    """In how many blocks the benchmark's texts are searched."""
+    return int(-(-(benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // block_bytes)) or 1
+
+
+def _blocks(benchmark: DataFrame, n: int, window: int = WINDOW) -> Iterator[tuple[WuManber, list[list[str]]]]:
+    """Search tables for the benchmark: for all of it, or for hashed parts of it, one after another."""
     items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = int(-(-total // block_bytes)) or 1
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         patterns, owners = windows_of([(r[0], r[1]) for r in part.toLocalIterator()], window)
         yield WuManber(patterns), owners
 
@@ -218,21 +223,24 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """(doc_id, n_words, n_hit, items): the words of each document inside occurrences, and the items found.
 
     Only the benchmark's texts are sent to the executors, in blocks whose size is measured first: one
-    block and one pass where the benchmark is within ``block_bytes``, else as many passes as blocks,
-    whose word ranges are united by row.
+    block and one pass where the benchmark is within ``block_bytes``, else as many passes as blocks, one block
+    at a time, whose word ranges are united by row.
     """
     context = documents.sparkSession.sparkContext
-    shared = [context.broadcast(x) for x in _blocks(benchmark, block_bytes, window)]
-    keyed = documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())  # rows of one id stay apart
-
-    def searched(key: str, s) -> DataFrame:
-        return keyed.select(F.col(key).alias("doc_id"), "text").mapInArrow(lambda batches: _scan(*s.value, batches), _SCANNED_DDL)
-
-    if len(shared) == 1:
-        return searched("doc_id", shared[0]).select("doc_id", "n_words", "n_hit", "items")
-    united = searched("_row", shared[0])
-    for s in shared[1:]:
-        united = united.unionByName(searched("_row", s).where("n_hit > 0"))
+    n = _parts(benchmark, block_bytes)
+    if n == 1:
+        shared = context.broadcast(next(_blocks(benchmark, 1, window)))
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return rows.mapInArrow(lambda batches: _scan(*shared.value, batches), _SCANNED_DDL).select("doc_id", "n_words", "n_hit", "items")
+    keyed = numbered(documents.select("doc_id", "text"), "_row")  # rows of one id stay apart
+    key = keyed.schema["_row"].dataType.simpleString()
+    united = None
+    for block in _blocks(benchmark, n, window):
+        shared = context.broadcast(block)
+        found = keyed.select("_row", "text").mapInArrow(lambda batches, s=shared: _scan(*s.value, batches), _SCANNED_DDL.replace("doc_id long", f"doc_id {key}"))
+        found = materialize(found if united is None else found.where("n_hit > 0"), "hits")
+        united = found if united is None else united.unionByName(found)
+        shared.destroy()
     merged = united.groupBy(F.col("doc_id").alias("_row")).agg(
         F.max("n_words").alias("n_words"),
         _union_size(F.array_sort(F.flatten(F.collect_list("ranges")))).alias("n_hit"),
@@ -251,13 +259,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
 
     Where the benchmark is a single block, rows are kept or dropped as they are read, and nothing is shuffled.
     """
-    blocks = list(_blocks(benchmark, block_bytes))
-    if len(blocks) > 1:
-        keyed = documents.withColumn("_row", F.monotonically_increasing_id())
+    n = _parts(benchmark, block_bytes)
+    if n > 1:
+        keyed = numbered(documents, "_row")
         hits = find_hits(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, block_bytes=block_bytes)
         bad = hits.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_row"))
         return keyed.join(bad, "_row", "left_anti").select(*documents.columns)
-    shared = documents.sparkSession.sparkContext.broadcast(blocks[0][0])
+    shared = documents.sparkSession.sparkContext.broadcast(next(_blocks(benchmark, 1))[0])
 
     def clean(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         low = lower_ascii(buf)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import decontaminate, langid, linededup, mixing, pii, quality, simhash, tiffpages, tokenids, warczip
+from corpusmill.scratch import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,15 +102,26 @@ ORACLES: dict[str, str] = {
         l AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY filled_at, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
                       / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY filled_at, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM f),
         v AS (SELECT level FROM l WHERE level <= filled_at ORDER BY filled_at, idx LIMIT 1),
-        t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM v) * CAST(weight AS DOUBLE)) AS target FROM l),
-        q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t),
-        p AS (SELECT doc_id, size, source_size, target,
-                     CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS epochs, take,
+        t AS (SELECT idx, source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM v) * CAST(weight AS DOUBLE)) AS target FROM l),
+        q0 AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t),
+        q1 AS (SELECT *, CAST(ceil(source_size / 256) AS BIGINT) AS blocks, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS epochs FROM q0),
+        q AS (SELECT *, epochs * blocks + CAST(ceil((take - epochs * source_size) / 256) AS BIGINT) AS quota FROM q1),
+        n AS (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS total FROM q),
+        e AS (SELECT idx, CAST(coalesce(sum(quota) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) * 2147483648 // total AS low,
+                     CAST(sum(quota) OVER (ORDER BY idx) AS HUGEINT) * 2147483648 // total AS high FROM q, n WHERE total > 0),
+        k AS (SELECT slot, slot % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(total)) AS slot FROM n)),
+        g AS (SELECT slot, idx, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS rank FROM k JOIN e ON point >= low AND point < high),
+        served AS (SELECT idx, count(*) AS n FROM g GROUP BY idx),
+        more AS (SELECT idx, unnest(range(coalesce(n, 0), quota)) AS rank FROM q LEFT JOIN served USING (idx)),
+        slots AS (SELECT g.slot, g.idx, g.rank FROM g JOIN q USING (idx) WHERE g.rank < quota
+                  UNION ALL SELECT total + row_number() OVER (ORDER BY idx, rank) - 1, idx, rank FROM more, n),
+        p AS (SELECT doc_id, size, source_size, target, epochs, take, idx,
                      CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
               FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
         SELECT doc_id, size, source_size, target,
-               CAST(epochs * size + greatest(0, least(b + size, take - epochs * source_size) - b) AS BIGINT) AS taken
-        FROM p""",
+               CAST(epochs * size + greatest(0, least(b + size, take - epochs * source_size) - b) AS BIGINT) AS taken,
+               CASE WHEN epochs * size + greatest(0, least(b + size, take - epochs * source_size) - b) > 0 THEN slot END AS first_slot
+        FROM p LEFT JOIN slots ON p.idx = slots.idx AND b // 256 = slots.rank AND size > 0""",
     "op8_warc_zip": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
         k AS (SELECT digest, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)

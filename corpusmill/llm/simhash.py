@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import lower_ascii, runs, word_spans
-from corpusmill.scratch import materialize
+from corpusmill.llm.arrowtext import lower_ascii, release, runs, word_spans
+from corpusmill.scratch import materialize, numbered
 
 SHINGLE = 4
 SEED = 42
@@ -83,18 +83,16 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
-
 def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offsets in runs(batch.column(1)):
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(fingerprints(buf, offsets).view(np.int64))], schema=_PRINTS)
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(fingerprints(buf, offsets).view(np.int64))], names=["doc_id", "fp"])
+    release()
 
 
 def fingerprint_rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_print_rows, "doc_id long, fp long")
+    """(doc_id, fp): the fingerprint as a signed long. Ids may be of any type that can be ordered."""
+    return documents.select("doc_id", "text").mapInArrow(_print_rows, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 class TrieJoin:
@@ -313,11 +311,12 @@ def near_duplicates(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def report(documents: DataFrame) -> DataFrame:
     """The contract's rows."""
-    return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """One document of each component, with all columns: the first in the stored table's order."""
-    rows = documents.withColumn("_row", F.monotonically_increasing_id())
-    kept = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), budget).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    """One document of each component, with all columns: that of the least doc_id, a null one first; of rows of one id, the first by file and place."""
+    rows = numbered(documents, "_row")
+    keyed = rows.select(F.struct(F.col("doc_id"), F.col("_row")).alias("doc_id"), "text")
+    kept = near_duplicates(keyed, budget).where("doc_id = component_id").select("doc_id._row")
     return rows.join(kept, "_row", "left_semi").select(*documents.columns)

@@ -193,7 +193,7 @@ def test_schedule_spreads_sources(spark, documents):
         ranks.setdefault(s.idx, []).append(s["rank"])
     assert {i: sorted(x) for i, x in ranks.items()} == {i: list(range(q)) for i, q in quota.items() if q}
     total = sum(quota.values())
-    half = [s for s in slots if s.slot is not None and s.slot < total / 2]
+    half = [s for s in slots if s.slot < total / 2]
     assert all(abs(sum(s.idx == i for s in half) - q / 2) <= 6 for i, q in quota.items())
 
 
@@ -354,3 +354,43 @@ def test_many_short_texts_need_little_memory(documents):
     n = sum(x.num_rows for x in langid._score_rows(model, iter([texts])))
     assert n == 10_000 and tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
+
+
+def test_mix_follows_the_golden_ratio(spark, documents):
+    """Blocks in the order of points k / phi mod 1 through the cumulative quotas, by a plain loop; the mixed documents and their words come in that order."""
+    sizes = mixing.sized(documents)
+    sources = sorted(mixing.quotas(mixing.targets(sizes), 64).collect(), key=lambda r: r.idx)
+    total, low, parts = sum(r.quota for r in sources), 0, []
+    for r in sources:
+        parts.append((r.idx, low * mixing.POINTS // total, (low + r.quota) * mixing.POINTS // total))
+        low += r.quota
+    served, want = dict.fromkeys((r.idx for r in sources), 0), []
+    for k in range(total):
+        point = k * mixing.GOLDEN % mixing.POINTS
+        idx = next(i for i, a, b in parts if a <= point < b)
+        served[idx] += 1
+        if served[idx] <= sources[idx].quota:
+            want.append((k, idx, served[idx] - 1))
+    for r in sources:
+        for rank in range(served[r.idx], r.quota):  # behind the last point
+            want.append((max(total, want[-1][0] + 1), r.idx, rank))
+    got = sorted((s.slot, s.idx, s["rank"]) for s in mixing.schedule(mixing.quotas(mixing.targets(sizes), 64), 64).collect())
+    assert got == sorted(want)
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in documents.collect()}
+    blocks = mixing.blocks(documents, block_words=64).collect()
+    assert [(b.slot, b["at"]) for b in blocks] == sorted((b.slot, b["at"]) for b in blocks)
+    taken = {r.doc_id: r.taken for r in mixing.report(documents).collect()}
+    read, position = dict.fromkeys(words, 0), dict.fromkeys(words, 0)
+    for b in blocks:
+        read[b.doc_id] += len(b.text.split(" "))
+    assert read == taken
+    for d, n in taken.items():  # each time, a document's words come whole and in order
+        own = [w for b in blocks if b.doc_id == d for w in b.text.split(" ")]
+        assert sorted(own) == sorted((words[d] * 3)[:n]) or not n
+    first = {}
+    for b in blocks:
+        first.setdefault(b.doc_id, b.slot)
+    order = [r.doc_id for r in mixing.mix(documents).collect()]
+    slots = {r.doc_id: r.first_slot for r in mixing.report(documents).collect()}
+    firsts = [slots[d] for d in dict.fromkeys(order)]
+    assert firsts == sorted(firsts) and len(order) == sum(-(-n // len(words[d])) for d, n in taken.items() if n)
