@@ -4,8 +4,8 @@ The reader walks the chain of image directories, decodes PackBits, LZW or deflat
 undoes horizontal differencing, and gives one row per page.
 
 Payloads are stored as grey pages of 64 samples a row. A payload is cut in pages of ``PAGE_BYTES``;
-a page's size alone decides its coding (PackBits, then LZW with differencing, then deflate in strips,
-then deflate in tiles), so equal payloads give equal files.
+a page's bytes decide its layout by their CRC, whatever its size: PackBits strips, LZW strips with differencing, deflate
+strips, or deflate tiles, a quarter of all pages each. So equal payloads give equal files.
 
 Defined results:
   * a null text is the empty text; a payload is padded with zero bytes to a positive multiple of 64;
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from corpusmill.llm.arrowtext import release
 from corpusmill.scratch import materialize
 
 WIDTH = 64
 PAGE_BYTES = 1 << 20
 STRIP_ROWS = 1024
-PACKBITS_TO, LZW_TO, STRIPS_TO = 128, 512, 256 << 10
 TILE = 64
 
 _NONE, _LZW, _DEFLATE, _PACKBITS = 1, 5, 8, 32773
@@ -40,107 +41,124 @@ _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 
 def packbits(data: bytes) -> bytes:
     """Runs of three or more equal bytes, and literals between them."""
-    out, n, i = bytearray(), len(data), 0
-    while i < n:
-        run = 1
-        while i + run < n and run < 128 and data[i + run] == data[i]:
-            run += 1
-        if run >= 3:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and not (i + 2 < n and data[i] == data[i + 1] == data[i + 2]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
-    return bytes(out)
+    x = np.frombuffer(data, np.uint8)
+    edges = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+    sizes = np.diff(edges)
+    long = np.flatnonzero(sizes >= 3)
+    out, at = [], 0
+
+    def literal(to: int) -> None:
+        for i in range(at, to, 128):
+            part = data[i : min(i + 128, to)]
+            out.append(bytes((len(part) - 1,)) + part)
+
+    for first, size in zip(edges[long].tolist(), sizes[long].tolist(), strict=True):
+        literal(first)
+        at = first + size
+        value = data[first : first + 1]
+        while size >= 2:
+            n = min(size, 128)
+            out.append(bytes((257 - n,)) + value)
+            size -= n
+        if size:
+            out.append(b"\0" + value)
+    literal(len(data))
+    return b"".join(out)
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
-    out, i = bytearray(), 0
-    while len(out) < size:
+    out, total, i = [], 0, 0
+    while total < size:
         head = data[i]
         if head < 128:
-            out += data[i + 1 : i + 2 + head]
+            out.append(data[i + 1 : i + 2 + head])
             i += 2 + head
+            total += 1 + head
         elif head > 128:
-            out += data[i + 1 : i + 2] * (257 - head)
+            out.append(data[i + 1 : i + 2] * (257 - head))
             i += 2
+            total += 257 - head
         else:
             i += 1
-    return bytes(out[:size])
+    return b"".join(out)[:size]
+
+
+#: Widths of the codes after a clear code, by place: they grow one code early, as the format asks.
+_WIDTHS = np.minimum(np.frompyfunc(int.bit_length, 1, 1)(np.arange(259, 259 + 4096)).astype(np.int64), 12)
+_OFFSETS = np.concatenate([[0], np.cumsum(_WIDTHS)])
 
 
 def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first; widths grow one code early, as the format asks."""
-    out, bits, room = bytearray(), 0, 0
-    width, table, after = 9, {}, 258
-
-    def put(code: int) -> None:
-        nonlocal bits, room
-        bits, room = (bits << width) | code, room + width
-        while room >= 8:
-            room -= 8
-            out.append((bits >> room) & 255)
-        bits &= (1 << room) - 1
-
-    put(256)
-    held = -1
+    """Codes of 9 to 12 bits, high bits first."""
+    codes, table, after, held = [256], {}, 258, -1
+    put, find = codes.append, table.get
     for b in data:
         if held < 0:
             held = b
             continue
-        known = table.get((held, b))
+        key = held << 8 | b
+        known = find(key)
         if known is not None:
             held = known
             continue
         put(held)
-        table[held, b] = after
+        table[key] = after
         after += 1
         held = b
-        if after == (1 << width) - 1 and width < 12:
-            width += 1
-        elif after >= 4094:
+        if after >= 4094:
             put(256)
-            width, table, after = 9, {}, 258
+            table.clear()
+            after = 258
     if held >= 0:
         put(held)
-        after += 1
-        if after == (1 << width) - 1 and width < 12:
-            width += 1
     put(257)
-    if room:
-        out.append((bits << (8 - room)) & 255)
-    return bytes(out)
+    value = np.array(codes, np.int64)
+    clear = np.flatnonzero(value == 256)
+    place = np.arange(len(value)) - np.repeat(clear + 1, np.diff(np.append(clear, len(value))))  # after the clear code before
+    place[clear[1:]] = clear[1:] - clear[:-1] - 1
+    width = np.where(place < 0, 9, _WIDTHS[place])
+    bits = np.concatenate([[0], np.cumsum(width)])
+    back = np.repeat(bits[1:], width) - 1 - np.arange(bits[-1])
+    return np.packbits((np.repeat(value, width) >> back & 1).astype(np.uint8)).tobytes()
+
+
+def _codes(raw: np.ndarray, bit: int) -> np.ndarray:
+    """The codes from a bit on that the data may hold, as if no clear code came."""
+    at = bit + _OFFSETS[:-1]
+    fits = at + _WIDTHS <= 8 * (len(raw) - 2)
+    at, width = at[fits], _WIDTHS[fits]
+    byte = at >> 3
+    word = raw[byte].astype(np.int64) << 16 | raw[byte + 1].astype(np.int64) << 8 | raw[byte + 2]
+    return word >> (24 - (at & 7) - width) & ((1 << width) - 1)
 
 
 def unlzw(data: bytes, size: int) -> bytes:
-    out, at, bits, room = bytearray(), 0, 0, 0
-    width, before = 9, b""
-    table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    while len(out) < size:
-        while room < width:
-            bits, room, at = (bits << 8) | data[at], room + 8, at + 1
-        room -= width
-        code = bits >> room
-        bits &= (1 << room) - 1
-        if code == 256:
-            width, before = 9, b""
-            del table[258:]
-            continue
-        if code == 257:
+    raw = np.frombuffer(data + b"\0\0", np.uint8)
+    singles = [bytes((i,)) for i in range(256)] + [b"", b""]
+    out, total, bit = [], 0, 0
+    while total < size:
+        codes = _codes(raw, bit)
+        if not len(codes):
+            raise ValueError("LZW data end early")
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else len(codes)
+        table, before = singles.copy(), b""
+        grow = table.append
+        for code in codes[:n].tolist():
+            if before:
+                piece = table[code] if code < len(table) else before + before[:1]
+                grow(before + piece[:1])
+            else:
+                piece = table[code]
+            out.append(piece)
+            total += len(piece)
+            before = piece
+        if not len(stop):
             break
-        if not before:
-            piece = table[code]
-        else:
-            piece = table[code] if code < len(table) else before + before[:1]
-            table.append(before + piece[:1])
-        out += piece
-        before = piece
-        if len(table) >= (1 << width) - 2 and width < 12:
-            width += 1
-    return bytes(out[:size])
+        if codes[n] == 257:
+            break
+        bit += int(_OFFSETS[n + 1])
+    return b"".join(out)[:size]
 
 
 def _encode(data: bytes, coding: int) -> bytes:
@@ -167,22 +185,15 @@ def _differences(rows: np.ndarray) -> np.ndarray:
 
 def _page_parts(data: bytes) -> tuple[int, int, bool, list[bytes]]:
     """(coding, predictor, tiled, encoded parts) of a page."""
-    n = len(data)
     rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    if n <= PACKBITS_TO:
-        return _PACKBITS, 1, False, [packbits(data)]
-    if n <= LZW_TO:
-        return _LZW, 2, False, [lzw(_differences(rows).tobytes())]
-    if n <= STRIPS_TO:
-        step = STRIP_ROWS * WIDTH
-        return _DEFLATE, 1, False, [zlib.compress(data[i : i + step], 1) for i in range(0, n, step)]
-    tiles = []
-    for i in range(0, len(rows), TILE):
-        tile = rows[i : i + TILE]
-        if len(tile) < TILE:
-            tile = np.vstack([tile, np.zeros((TILE - len(tile), WIDTH), np.uint8)])
-        tiles.append(zlib.compress(tile.tobytes(), 1))
-    return _DEFLATE, 1, True, tiles
+    layout = zlib.crc32(data) & 3
+    if layout == 3:
+        short = -len(rows) % TILE
+        whole = np.vstack([rows, np.zeros((short, WIDTH), np.uint8)]) if short else rows
+        return _DEFLATE, 1, True, [_encode(whole[i : i + TILE].tobytes(), _DEFLATE) for i in range(0, len(whole), TILE)]
+    coding, predictor = ((_PACKBITS, 1), (_LZW, 2), (_DEFLATE, 1))[layout]
+    samples = _differences(rows) if predictor == 2 else rows
+    return coding, predictor, False, [_encode(samples[i : i + STRIP_ROWS].tobytes(), coding) for i in range(0, len(rows), STRIP_ROWS)]
 
 
 def write_tiff(payload: bytes) -> bytes:
@@ -312,47 +323,74 @@ def _write_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a TIFF file."""
-    return documents.select("doc_id", "text").mapInArrow(_write_rows, "doc_id long, n_bytes long, media binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_write_rows, "doc_id long, n_bytes long, media binary")
 
 
-def pages_of(media: DataFrame) -> DataFrame:
-    """One row per page: (doc_id, page, width, height, coding, predictor, samples)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("coding", pa.int32()), ("predictor", pa.int32()), ("samples", pa.large_binary())])
+_PAGES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("coding", pa.int32()), ("predictor", pa.int32()), ("samples", pa.large_binary())])
+_PAGES_DDL = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, page int, width int, height int, coding int, predictor int, samples binary"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(doc_id, p.number, p.width, p.height, p.coding, p.predictor, p.samples) for p in read_tiff(data)]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return media.select("doc_id", "media").mapInArrow(read, "doc_id long, page int, width int, height int, coding int, predictor int, samples binary")
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, size = [], 0
+        for doc_id, n_bytes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = (doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest())
+            for p in read_tiff(data):
+                rows.append((*own, p.number, p.width, p.height, p.coding, p.predictor, p.samples))
+                size += len(p.samples)
+                if size >= 4 << 20:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PAGES, strict=True)], schema=_PAGES)
+                    rows, size = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PAGES, strict=True)], schema=_PAGES)
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+def pages_of(media: DataFrame) -> DataFrame:
+    """One row per page: (doc_id, n_bytes, media_bytes, media_sha256, page, width, height, coding, predictor, samples); a file's pages follow each other."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_page_rows, _PAGES_DDL)
 
 
-def _digest(doc_id: int | None, n_bytes: int, media: bytes) -> tuple:
-    sha, size, tail, counts, changes, pages = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0, 0
-    for p in read_tiff(media):
-        sha.update(p.samples)
-        size += len(p.samples)
-        tail = (tail + p.samples)[-64:]
-        samples = np.frombuffer(p.samples, np.uint8)
-        counts += np.bincount(samples, minlength=256)
-        rows = samples.reshape(p.height, p.width)
-        changes += int(np.count_nonzero(rows[:, 1:] != rows[:, :-1]))
-        pages += 1
-    return doc_id, n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), features_of(pages, counts, changes)
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            rows = [_digest(*x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
+def _digest_rows(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pages, in order, become a row per file: page 0 begins one."""
+    file, done = None, []
+
+    def digest() -> tuple:
+        head, sha, size, tail, counts, changes, n = file
+        return head[0], head[1], size, sha.hexdigest(), zlib.crc32(tail), head[2], head[3], features_of(n, counts, changes)
+
+    def flush() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
+
+    for batch in pages:
+        for *head, page, _, height, _, _, samples in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if page == 0:
+                if file:
+                    done.append(digest())
+                file = [head, hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0, 0]
+            x = np.frombuffer(samples, np.uint8)
+            rows = x.reshape(height, -1)
+            file[1].update(samples)
+            file[2] += len(samples)
+            file[3] = (file[3] + samples[-64:])[-64:]
+            file[4] += np.bincount(x, minlength=256)
+            file[5] += int(np.count_nonzero(rows[:, 1:] != rows[:, :-1]))
+            file[6] += 1
+        if done:
+            yield flush()
+            done.clear()
+    if file:
+        done.append(digest())
+        yield flush()
+    release()
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """The contract's digest: files are written to the shared scratch space, read back, and their pages folded by document."""
+    """The contract's digest: files are written to the shared scratch space, read back as rows of pages, and those folded by file.
+
+    Pages are read and folded in one worker: what :func:`pages_of` gives doesn't cross to the JVM and back.
+    """
     media = materialize(to_media(documents), "tiff", compression="none")
-    return media.mapInArrow(_digest_rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _digest_rows(_page_rows(batches)), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

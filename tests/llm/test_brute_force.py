@@ -1,11 +1,13 @@
 """Operators against plain versions on small tables, exact round trips, and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -257,11 +259,68 @@ def test_tiff_reads_big_endian_tiles_with_differences():
 
 def test_tiff_digest_and_pages(spark, documents, rows):
     got = {r.doc_id: r for r in tiffpages.report(documents).collect()}
+    media = tiffpages.materialize(tiffpages.to_media(documents), "t")
+    pages = {}
+    for p in tiffpages.pages_of(media).collect():
+        pages.setdefault(p.doc_id, []).append(p)
     for r in rows:
+        p, g = tiffpages.payload_of(r.text.encode()), got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(r.text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        file = tiffpages.write_tiff(p)
+        assert (g.media_bytes, g.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        assert b"".join(bytes(x.samples) for x in sorted(pages[r.doc_id], key=lambda x: x.page)) == p
+        mean = sum(p) / len(p)
+        deviation = (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5
+        entropy = -sum(n / len(p) * math.log2(n / len(p)) for n in Counter(p).values()) + 0.0
+        changes = sum(p[i] != p[i - 1] for i in range(len(p)) if i % 64)
+        assert g.feature == f"pages={len(pages[r.doc_id])};mean={mean:.4f};deviation={deviation:.4f};entropy={entropy:.4f};distinct={len(set(p))};changes={changes}"
+
+
+def test_every_coding_has_its_share(spark, documents):
+    """PackBits, LZW with differencing and deflate, in strips and in tiles, whatever a text's size."""
+    codings = Counter((p.coding, p.predictor) for p in tiffpages.pages_of(tiffpages.to_media(documents)).collect())
+    assert set(codings) == {(32773, 1), (5, 2), (8, 1)} and min(codings.values()) > 0.2 * sum(codings.values())
+    sizes = {}
+    for r in documents.collect():
         p = tiffpages.payload_of(r.text.encode())
-        assert (got[r.doc_id].n_bytes, got[r.doc_id].payload_sha256, got[r.doc_id].tail_crc32) == (len(r.text.encode()), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    pages = tiffpages.pages_of(tiffpages.to_media(documents.limit(5))).collect()
-    assert all(len(p.samples) == p.width * p.height for p in pages)
+        sizes.setdefault(zlib.crc32(p) & 3, []).append(len(p))
+    assert len(sizes) == 4 and all(min(x) < 2000 < max(x) for x in sizes.values())
+
+
+def test_lzw_writer_agrees_with_a_plain_one():
+    """Codes put bit by bit, widths kept up to date code by code."""
+
+    def plain(data):
+        out, table, after, width, held = "", {}, 258, 9, None
+        put = lambda code, w: format(code, f"0{w}b")
+        out += put(256, 9)
+        for b in data:
+            if held is None:
+                held = (b,)
+            elif held + (b,) in table:
+                held += (b,)
+            else:
+                out += put(table[held] if len(held) > 1 else held[0], width)
+                table[held + (b,)] = after
+                after, held = after + 1, (b,)
+                if after == (1 << width) - 1 and width < 12:
+                    width += 1
+                elif after >= 4094:
+                    out += put(256, width)
+                    table, after, width = {}, 258, 9
+        if held is not None:
+            out += put(table[held] if len(held) > 1 else held[0], width)
+            after += 1
+            if after == (1 << width) - 1 and width < 12:
+                width += 1
+        out += put(257, width)
+        out += "0" * (-len(out) % 8)
+        return int(out, 2).to_bytes(len(out) // 8, "big")
+
+    rng = random.Random(9)
+    for n in (0, 1, 2, 300, 700, 5000, 60_000):
+        for x in (bytes(rng.choices(b"ab", k=n)), rng.randbytes(n), b"z" * n):
+            assert tiffpages.lzw(x) == plain(x)
 
 
 class InMemory:
