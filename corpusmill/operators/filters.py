@@ -69,6 +69,11 @@ def path_reason(path: Column, text: Column, extensions: list[str], least: int =
     )
 
 
+def repository_reason(fork: Column, licence: Column, allowed: list[str]) -> Column:
+    """Why a repository is skipped, or null: a fork, or a licence that isn't listed."""
+    return F.when(F.coalesce(fork, F.lit(False)), "fork").when(~F.coalesce(licence.isin(allowed), F.lit(False)), "licence")
+
+
 def repeated_choices(choices: Column) -> Column:
     """Whether two choices are equal once trimmed."""
     return F.size(F.array_distinct(F.transform(choices, lambda x: F.trim(x)))) < F.size(choices)

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrays import let
+
+_BLOCK = 256
+
 
 def smoothed(series: DataFrame, value: str, decay: float = 0.95, by: str | None = None, order: str = "step") -> DataFrame:
     """Adds ``smooth``: an exponential mean whose seed is the first value.
 
-    The recurrence runs over one series at a time; a log has a row per step, so a series fits an array.
+    The recurrence runs over one series at a time, in blocks: first what each block makes of its seed, then inside the
+    blocks, so that work grows with the points. A log has a row per step, so a series fits an array.
     """
     key = [by] if by else []
     rows = series.where(F.col(value).isNotNull())
     lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_s"))
-    zero = F.array().cast("array<double>")
-    grow = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value]).otherwise(decay * F.element_at(acc, -1) + (1 - decay) * x[value])))
-    blocks = lists.withColumn("_m", F.aggregate("_s", zero, grow))
+    next_ = lambda last, x: F.when(last.isNull(), x[value].cast("double")).otherwise(decay * last + (1 - decay) * x[value])
+    none = F.lit(None).cast("double")
+    run = lambda xs, seed, step: F.aggregate(xs, F.array(seed), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    lists = lists.withColumn("_b", let(F.col("_s"), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), lambda k: F.slice(s, k * _BLOCK + 1, _BLOCK))))
+    lists = lists.withColumn("_seeds", run(F.col("_b"), none, lambda last, xs: F.aggregate(xs, last, next_)))
+    inside = F.zip_with("_b", "_seeds", lambda xs, seed: F.when(xs.isNotNull(), F.slice(run(xs, seed, next_), 2, _BLOCK)))
+    blocks = lists.withColumn("_m", F.flatten(F.filter(inside, lambda xs: xs.isNotNull())))
     out = blocks.select(*key, F.explode(F.arrays_zip("_s", "_m")).alias("_x"))
     return out.select(*key, F.col(f"_x._s.{order}").alias(order), F.col(f"_x._s.{value}").alias(value), F.col("_x._m").alias("smooth"))
 
@@ -87,3 +96,35 @@ def unigram_loss(train: DataFrame, test: DataFrame, token: str, vocabulary: int)
     uses = test.groupBy(token).agg(F.count(F.lit(1)).alias("_n"))
     loss = -F.ln((F.coalesce("_c", F.lit(0)) + 1) / F.lit(float(total + vocabulary)))
     return uses.join(counts, token, "left").agg((F.sum(F.col("_n") * loss) / F.sum("_n")).alias("loss"), F.sum("_n").alias("tokens"))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A training log of JSON lines, as columns step, loss, val_loss, grad_norm, tokens_per_s and time; lines that aren't JSON are null rows and go."""
+    schema = "step long, loss double, val_loss double, grad_norm double, tokens_per_s double, time double"
+    return spark.read.schema(schema).json(path).where("step is not null")
+
+
+def checkpoint_checks(checkpoints: DataFrame, metrics: DataFrame, vocabulary: str, tolerance: float = 1e-6) -> DataFrame:
+    """Adds to (step, val_loss, vocab_sha256) rows of checkpoints the loss that the log has for their step, and whether loss and vocabulary agree.
+
+    The loss agrees with nothing, null, where one of the two is missing.
+    """
+    logged = metrics.groupBy("step").agg(F.max_by("val_loss", F.struct(F.col("val_loss").isNotNull())).alias("logged"))
+    rows = checkpoints.join(logged, "step", "left")
+    return rows.withColumns({"loss_matches": F.abs(F.col("logged") - F.col("val_loss")) < tolerance, "vocabulary_matches": F.col("vocab_sha256").eqNullSafe(F.lit(vocabulary))})
+
+
+def next_token_metrics(rows: DataFrame, scores: str, target: str, bins: int = 10) -> DataFrame:
+    """One row for (scores, target): tokens, cross-entropy in nats, perplexity, top-1, top-5, and the top choice's calibration error."""
+    s = F.col(scores).cast("array<double>")
+    peak = F.array_max(s)
+    log_sum = let(s, lambda x: let(F.array_max(x), lambda m: m + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))))
+    own = F.get(s, F.col(target))
+    hit = F.array_position(s, peak) - 1 == F.col(target)
+    better = let(own, lambda o: F.size(F.filter(s, lambda v, i: (v > o) | ((v == o) & (i < F.col(target))))))
+    told = rows.select((log_sum - own).alias("ce"), hit.cast("int").alias("hit"), (better < 5).cast("int").alias("five"), F.exp(peak - log_sum).alias("conf"))
+    told = told.withColumn("bin", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1)))
+    by_bin = told.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("ce").alias("ce"), F.sum("hit").alias("hit"), F.sum("five").alias("five"), F.sum("conf").alias("conf"))
+    n = F.sum("n")
+    loss = F.sum("ce") / n
+    return by_bin.agg(n.alias("tokens"), loss.alias("cross_entropy"), F.exp(F.least(loss, F.lit(50.0))).alias("perplexity"), (F.sum("hit") / n).alias("top1"), (F.sum("five") / n).alias("top5"), (F.sum(F.abs(F.col("conf") - F.col("hit"))) / n).alias("calibration_error"))

@@ -26,17 +26,45 @@ def aliased(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     return rows.select(*[pick(a).alias(name) for name, a in names.items()])
 
 
-def account(rows: DataFrame, most_chars: int = 4000, leaked: DataFrame | None = None) -> DataFrame:
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and no spaces, equal for equal values; null if it isn't JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def read_rows(lines: DataFrame) -> DataFrame:
+    """(file, line, ok, note, id, system, prompt, response, domain, source, answer) of (file, line, value) lines of JSON; blank lines go.
+
+    A line is bad if it is no JSON, if prompt or response (or their aliases instruction and output) is missing, no string or
+    blank, or if there is a system turn that is no string. Bad lines stay as rows that say why, so that every line is accounted for.
+    """
+    rows = lines.where(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
+    member = lambda k: F.try_variant_get("_v", f"$.{k}", "variant")
+    string = lambda k: F.when(F.schema_of_variant(member(k)) == "STRING", F.try_variant_get("_v", f"$.{k}", "string"))
+    strip = lambda c: tx.replaced(tx.replaced(c, f"^[{tx.WHITE_SPACE}]+", ""), f"[{tx.WHITE_SPACE}]+\\z", "")
+    full = lambda k, alias: F.nullif(strip(F.when(member(k).isNotNull(), string(k)).otherwise(string(alias))), F.lit(""))
+    prompt, response = full("prompt", "instruction"), full("response", "output")
+    odd = member("system").isNotNull() & ~F.schema_of_variant(member("system")).isin("STRING", "VOID")
+    broken = F.col("_v").isNull() | ~F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
+    note = F.when(broken, "bad JSON").when(prompt.isNull() | response.isNull() | odd, "needs non-empty string prompt and response")
+    text = lambda k: F.nullif(string(k), F.lit(""))
+    return rows.select(
+        "file", "line", note.isNull().alias("ok"), note.alias("note"), F.try_variant_get("_v", "$.id", "string").alias("id"), text("system").alias("system"), prompt.alias("prompt"), response.alias("response"),
+        F.coalesce(text("domain"), F.lit("unknown")).alias("domain"), F.coalesce(text("source"), F.col("file")).alias("source"), canonical_json(member("answer").cast("string")).alias("answer"),
+    )
+
+
+def account(rows: DataFrame, most_chars: int = 4000, leaked: DataFrame | None = None, most_tokens: int | None = None) -> DataFrame:
     """Adds ``reason`` to (id, prompt, response[, answer]) rows: kept, or the first reason to drop.
 
     special_text, contradictory (a prompt has several answers: all go), duplicate and duplicate_prompt (an earlier
-    row of the prompt is kept), too_long, answer_mismatch, contaminated. Only a row that passes all other
+    row of the prompt is kept), too_long, answer_mismatch, contaminated. Rows are never cut: with ``most_tokens`` a row is too long by its
+    column ``n_tokens``, else by characters. Only a row that passes all other
     tests makes later rows of its prompt duplicates, so the first such row of a prompt decides; no iteration is needed.
     """
     has_answer = "answer" in rows.columns
     r = rows.withColumns({"_p": F.md5(tx.normal_form("prompt")), "_r": F.md5(tx.normal_form("response"))})
     special = filters.holds_special(F.concat_ws("\n", "prompt", "response"), SPECIALS)
-    late = [("too_long", F.length("prompt") + F.length("response") > most_chars)]
+    late = [("too_long", F.length("prompt") + F.length("response") > most_chars if most_tokens is None else F.col("n_tokens") > most_tokens)]
     if has_answer:
         late.append(("answer_mismatch", F.col("answer").isNotNull() & ~tx.answer_matches(F.col("response"), F.col("answer"))))
     if leaked is not None:
@@ -72,10 +100,33 @@ def labels(prompt_ids: Column, response_ids: Column, eos: int) -> Column:
     return F.struct(ids.alias("ids"), F.concat(F.array_repeat(F.lit(-100), F.size(prompt_ids)), response_ids, F.array(F.lit(eos))).alias("labels"))
 
 
+def _number(seed: str, salt: str, low: int, count: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:{salt}:"), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(count)) + low
+
+
 def arithmetic(spark, n: int, seed: str = "0") -> DataFrame:
     """(id, prompt, response, answer): generated additions, right by construction; equal prompts once."""
-    number = lambda salt: F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:{salt}:"), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(900)) + 100
-    rows = spark.range(n).withColumns({"a": number("a"), "b": number("b")})
+    rows = spark.range(n).withColumns({"a": _number(seed, "a", 100, 900), "b": _number(seed, "b", 100, 900)})
     rows = rows.groupBy("a", "b").agg(F.min("id").alias("id"))
     total = F.col("a") + F.col("b")
     return rows.select("id", F.format_string("What is %d + %d?", "a", "b").alias("prompt"), F.format_string("%s + %s = %d", tx.spaced("a"), tx.spaced("b"), total).alias("response"), total.cast("string").alias("answer"))
+
+
+def polynomials(spark, n: int, seed: str = "0") -> DataFrame:
+    """(id, prompt, response, answer): derivatives of a x^2 + b x + c at a place, right by construction; equal prompts once."""
+    rows = spark.range(n).withColumns({k: _number(seed, k, low, m) for k, low, m in (("a", 1, 9), ("b", 1, 9), ("c", 0, 10), ("x", 0, 10))})
+    rows = rows.groupBy("a", "b", "c", "x").agg(F.min("id").alias("id"))
+    slope = 2 * F.col("a") * F.col("x") + F.col("b")
+    prompt = F.format_string("What is the derivative of %dx^2 + %dx + %d at x = %d?", "a", "b", "c", "x")
+    return rows.select("id", prompt.alias("prompt"), F.format_string("The derivative is %dx + %d. At x = %d it is %d.", 2 * F.col("a"), "b", "x", slope).alias("response"), slope.cast("string").alias("answer"))
+
+
+def physics(spark, n: int, seed: str = "0") -> DataFrame:
+    """(id, prompt, response, answer): distances of uniform acceleration from rest, to four significant digits; equal prompts once."""
+    rows = spark.range(n).withColumns({"a": _number(seed, "a", 1, 20), "t": _number(seed, "t", 1, 60)}).groupBy("a", "t").agg(F.min("id").alias("id"))
+    half = F.col("a") * F.col("t") * F.col("t") / 2
+    place = F.floor(F.log10(half))
+    unit = F.pow(F.lit(10.0), place - 3)
+    answer = F.when(place <= 3, F.regexp_replace(F.format_string("%.1f", half), r"\.0$", "")).otherwise(F.format_string("%d", (F.round(half / unit) * unit).cast("long")))
+    prompt = F.format_string("A body starts from rest with an acceleration of %d m/s^2. How far does it move in %d s, in m?", "a", "t")
+    return rows.select("id", prompt.alias("prompt"), F.concat(F.lit("s = a t^2 / 2 = "), answer, F.lit(" m")).alias("response"), answer.alias("answer"))

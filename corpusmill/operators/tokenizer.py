@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.scratch import materialize
+
 _W = r" \t\n\r\f\x0B"
 #: Contractions; all but the last of a run of spaces; a word, a number or marks with a space before; spaces.
 PIECES = (
@@ -21,6 +26,10 @@ PIECES = (
 )
 
 
+#: The same in Python's syntax, for single texts.
+PIECES_RE = PIECES.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff")
+
+
 def pieces(text: Column) -> Column:
     """The pieces of a text; joined, they are the text."""
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
@@ -41,13 +50,26 @@ class Vocabulary:
         return max([len(self.tokens), *(i + 1 for i in self.specials.values())])
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ids.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.ids[p] for p in parts)
+        """Pairs merge by rank, the leftmost first; a heap of pairs, and links between parts that still stand."""
+        n = len(piece)
+        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: self.ids.get(parts[i] + parts[after[i]])
+        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, size = heapq.heappop(heap)
+            if parts[i] is None or after[i] >= n or len(parts[i]) + len(parts[after[i]]) != size or rank(i) != r:
+                continue  # one of the two has merged since
+            j = after[i]
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k, len(parts[k]) + len(parts[after[k]])))
+        return tuple(self.ids[p] for p in parts if p is not None)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         return self._encoded(piece.encode())
@@ -76,37 +98,71 @@ class Vocabulary:
         return cls([tokens[i] for i in range(len(tokens))], {t.decode(): i for t, i in map(pair, body[cut + 1 :])})
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, eos: int | None = None) -> DataFrame:
-    """(doc_id, ids): no special token can come from a text; the end id follows each document if it is given.
-
-    Workers remember the pieces that they have encoded, so the common ones cost a look-up.
+def _ids_of(v: Vocabulary, eos: int | None, specials: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of pieces become lists of ids: each distinct piece of a batch is looked up once."""
+    tail = np.array([] if eos is None else [eos], np.int32)
+    for batch in batches:
+        lists = batch.column(1)
+        pieces_ = lists.flatten().dictionary_encode()
+        own = [np.array([v.specials[p]] if specials and p in v.specials else v.encode_piece(p), np.int32) for p in pieces_.dictionary.to_pylist()] + [tail]
+        sizes = np.array([len(x) for x in own], np.int64)
+        flat, origin = np.concatenate(own), np.cumsum(sizes) - sizes
+        # The end id is a piece of its own behind each list.
+        n = np.diff(lists.offsets.to_numpy())
+        index = np.insert(pieces_.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n), len(own) - 1)
+        size = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(origin[index] - upto[:-1], size)]
+        edges = upto[np.concatenate([[0], np.cumsum(n + 1)])]
+        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+
+
+def encode(documents: DataFrame, vocabulary: Vocabulary, eos: int | None = None, specials: bool = False) -> DataFrame:
+    """(doc_id, ids): the end id follows each document if it is given.
+
+    No special token can come from a text, unless ``specials`` asks that the strings of special tokens are read as such. Workers remember
+    the pieces that they have encoded, so the common ones cost a look-up.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
-
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = shared.value
-        for batch in batches:
-            yield batch.map(lambda ps: [i for p in ps for i in v.encode_piece(p)])
-
-    ids = ids_of(pieces(F.coalesce("text", F.lit(""))))
-    return documents.select("doc_id", (F.concat(ids, F.array(F.lit(eos))) if eos is not None else ids).alias("ids"))
+    text = F.coalesce("text", F.lit(""))
+    own = pieces(text)
+    if specials and vocabulary.specials:
+        mark = "|".join(re.escape(s) for s in sorted(vocabulary.specials, key=len, reverse=True))
+        # Texts between special tokens are cut in pieces, the tokens stay whole.
+        between, tokens = F.split(text, mark, -1), F.regexp_extract_all(text, F.lit(f"(?:{mark})"), F.lit(0))
+        own = F.flatten(F.zip_with(F.transform(between, pieces), F.transform(tokens, lambda x: F.array(x)), lambda x, y: F.concat(x, F.coalesce(y, F.array().cast("array<string>")))))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", own.alias("_p")).mapInArrow(lambda batches: _ids_of(shared.value, eos, specials, batches), f"doc_id {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids)."""
+    """(doc_id, text, n, bytes, single) of (doc_id, ids): the text, its numbers of ids and bytes, and of ids of single bytes."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(shared.value.decode)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    return rows.select("doc_id", text_of("ids").alias("text"))
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        names = {i: s.encode() for s, i in v.specials.items()}
+        size = max([len(v.tokens), *(i + 1 for i in names)])
+        token = [*v.tokens, *(names.get(i, f"<unk:{i}>".encode()) for i in range(len(v.tokens), size))]
+        for batch in batches:
+            out, single, n_bytes = [], [], []
+            for ids in batch.column(1).to_pylist():
+                own = [token[i] if 0 <= i < size else f"<unk:{i}>".encode() for i in ids]
+                data = b"".join(own)
+                out.append(data.decode("utf-8", "replace"))
+                n_bytes.append(len(data))
+                single.append(sum(i < 256 for i in ids))
+            n = [len(x) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(single, pa.int64())], names=["doc_id", "text", "n", "bytes", "single"])
+
+    return rows.select("doc_id", "ids").mapInArrow(texts, f"doc_id {kind}, text string, n long, bytes long, single long")
 
 
 def round_trip_failures(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id of texts that don't survive encoding and decoding."""
-    back = decode(encode(documents, vocabulary), vocabulary).withColumnRenamed("text", "_back")
+    back = decode(encode(documents, vocabulary), vocabulary).select("doc_id", F.col("text").alias("_back"))
     return documents.join(back, "doc_id").where(~F.col("_back").eqNullSafe(F.coalesce("text", F.lit("")))).select("doc_id")
 
 
@@ -167,12 +223,58 @@ def train(counted: list[tuple[str, int]], size: int, least: int = 2, split_digit
     return tokens
 
 
-def train_on(texts: DataFrame, size: int, least_piece: int = 1, **options) -> Vocabulary:
-    """Pieces are counted on the cluster; the distinct ones that occur ``least_piece`` times or more, by default all, are merged on the driver."""
-    rows = piece_table(texts).where(F.col("n") >= least_piece)
+#: Distinct pieces that one trainer takes; a larger corpus is sampled by its owner, not cut here.
+MOST_PIECES = 5_000_000
+
+
+def train_on(texts: DataFrame, size: int, least_piece: int = 1, most_pieces: int = MOST_PIECES, **options) -> Vocabulary:
+    """Pieces are counted on the cluster; the distinct ones that occur ``least_piece`` times or more, by default all, are merged on the driver.
+
+    More than ``most_pieces`` of them are an error: a trainer's corpus is a sample, and dropping pieces would give other merges.
+    """
+    rows = materialize(piece_table(texts).where(F.col("n") >= least_piece), "pieces")
+    if (n := rows.count()) > most_pieces:
+        raise ValueError(f"{n} distinct pieces, more than {most_pieces}: train on a sample")
     return Vocabulary(train(sorted((r["piece"], r["n"]) for r in rows.toLocalIterator()), size, **options))
 
 
+def statistics(documents: DataFrame, vocabulary: Vocabulary, by: str) -> DataFrame:
+    """One row per group: docs, tokens, bytes, bytes a token, the share of single-byte tokens in percent, and round-trip failures."""
+    rows = documents.select(F.struct("doc_id", F.col(by).alias("group"), F.coalesce("text", F.lit("")).alias("text")).alias("doc_id"), "text")
+    ids = encode(rows, vocabulary)
+    back = decode(ids, vocabulary).select("doc_id.group", "n", "bytes", "single", (~F.col("text").eqNullSafe(F.col("doc_id.text"))).alias("bad"))
+    out = back.groupBy(F.col("group").alias(by)).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.sum("bytes").alias("bytes"), F.sum("single").alias("_single"), F.count(F.when(F.col("bad"), 1)).alias("failures"))
+    share = lambda x, n: F.round(x / F.greatest(F.col("tokens"), F.lit(1)), n)
+    return out.select(by, "docs", "tokens", "bytes", share(F.col("bytes"), 3).alias("bytes_per_token"), share(100 * F.col("_single"), 2).alias("single_byte_pct"), "failures")
+
+
+#: A text that a sound vocabulary brings back whole.
+PROBE = "h\u00e9llo \u65e5\u672c\u8a9e \U0001f600 \x00\x01 \t\n"
+
+
+def verify(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(check, passed): ids are dense, all bytes are there, a probe and all texts come back whole, and no text forges a special token."""
+    v = vocabulary
+    whole = lambda x: [i for p in re.findall(PIECES_RE, x) for i in v.encode_piece(p)]
+    forged = any(whole(s) == [i] for s, i in v.specials.items())
+    checks = [
+        ("all bytes", all(v.ids.get(bytes([i])) is not None for i in range(256))),
+        ("distinct tokens", len(v.ids) == len(v.tokens)),
+        ("specials outside", all(i >= len(v.tokens) for i in v.specials.values())),
+        ("probe", v.decode(whole(PROBE)) == PROBE),
+        ("no forged special", not forged),
+        ("round trip", round_trip_failures(documents, v).isEmpty()),
+    ]
+    return documents.sparkSession.createDataFrame(checks, "check string, passed boolean")
+
+
+def require_frozen(path: str, sha256: str) -> None:
+    """Refuses a vocabulary file that isn't the frozen one: another may have the same size and end id, so nothing else would notice."""
+    got = hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    if got != sha256:
+        raise ValueError(f"{path} isn't the frozen vocabulary: SHA-256 {got[:16]}, not {sha256[:16]}")
+
+
 def profile(rows: DataFrame, vocab: int, eos: int) -> DataFrame:
     """One row per file of (file, doc, ids): tokens, documents, greatest id, whether the last token is the end, and the problems found."""
     last = F.max_by(F.element_at("ids", -1), "doc")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrays, paper
@@ -17,9 +16,8 @@ from corpusmill.plans.registry import Tables, query
     SELECT doc_id, CASE WHEN i % 20 = 0 THEN 'val' ELSE 'train' END AS split, CAST(least(n_chars, 50000 - before) AS BIGINT) AS taken FROM c WHERE before < 50000""")
 def index_modulo_split(t: Tables):
     """Every twentieth document of a source is validation; a cap on the source's size cuts the document that passes it."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.documents.withColumns({"i": F.row_number().over(w) - 1, "before": F.coalesce(F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).where("before < 50000")
-    return rows.select("doc_id", F.when(F.col("i") % 20 == 0, "val").otherwise("train").alias("split"), F.least("n_chars", F.lit(50000) - F.col("before")).alias("taken"))
+    rows = t.documents.select("doc_id", "source", "n_chars")
+    return sampling.index_split(rows, F.col("n_chars"), "source", "doc_id", 20, 50_000).select("doc_id", "split", "taken")
 
 
 @query("""SELECT a.event_id AS step, a.value AS train, b.value AS val FROM (SELECT * FROM events WHERE event_type = 'view') a

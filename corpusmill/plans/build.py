@@ -26,6 +26,7 @@ class Domain:
     min_chars: int = 0
     normalise: bool = True
     expect_files: int | None = None
+    max_files: int | None = None
 
 
 @dataclass
@@ -49,11 +50,16 @@ def parse_weighted(spec: str) -> tuple[str, float]:
 
 def read_domain(spark: SparkSession, d: Domain) -> DataFrame:
     """(doc_id, domain, text) of a domain."""
+    if d.max_files is not None:
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d.path).inputFiles()
+        path = src.first_files(own, d.max_files)
+    else:
+        path = d.path
     if d.kind in SPLITTERS:
-        files = src.text_files(spark, d.path)
+        files = src.text_files(spark, path)
         rows = src.documents(files, SPLITTERS[d.kind](F.col("text"))).select(F.concat_ws("#", "file", "pos").alias("doc_id"), "text")
     else:
-        table = spark.read.parquet(d.path)
+        table = spark.read.parquet(*path) if isinstance(path, list) else spark.read.parquet(path)
         if d.kind == "entity":
             rows = table.select(F.col("entity_id").cast("string").alias("doc_id"), src.entity_text(F.col("description"), F.col("properties")).alias("text"))
         elif d.kind == "parquet":

@@ -291,14 +291,14 @@ def logits_masks(t: Tables):
     m AS (SELECT vec_id, exp(v - peak) AS w, sum(exp(v - peak)) OVER (PARTITION BY vec_id) AS total,
                  coalesce(sum(exp(v - peak)) OVER (PARTITION BY vec_id ORDER BY v DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
     n AS (SELECT vec_id, count(*) FILTER (before / total < 0.9 - 1e-12) AS nucleus FROM m GROUP BY vec_id),
-    b AS (SELECT vec_id, list_sort(list_distinct(list_filter(list_transform(range(1, len(ids)), lambda i: CASE WHEN ids[i] = ids[-1] THEN ids[i + 1] END), lambda v: v IS NOT NULL))) AS banned, ids[-3:] AS tail, greatest(len(ids), 72) AS width FROM x)
+    b AS (SELECT vec_id, list_sort(list_distinct(list_filter(list_transform(range(1, len(ids)), lambda i: CASE WHEN ids[i] = ids[-1] THEN ids[i + 1] END), lambda v: v IS NOT NULL))) AS banned, ids[-3:] AS tail, greatest(len(ids), 12) AS width FROM x)
     SELECT vec_id, CAST(nucleus AS INT) AS nucleus, banned, tail, CAST(width AS INT) AS width FROM n JOIN b USING (vec_id)""")
 def nucleus_masks(t: Tables):
     """Sizes of nucleus sets, bans of repeated runs, tails and paddings."""
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     ids = F.transform(F.col("e"), lambda x: F.floor(F.abs(x) * 3).cast("int"))
     size = F.size(F.filter(arrays.top_p(F.col("e"), 0.9), lambda x: x.isNotNull()))
-    return rows.select("vec_id", size.alias("nucleus"), arrays.let(ids, lambda w: arrays.banned_next(w, 2)).alias("banned"), arrays.tail(ids, 3).alias("tail"), F.size(arrays.padded(ids, 72, F.lit(0))).alias("width"))
+    return rows.select("vec_id", size.alias("nucleus"), arrays.let(ids, lambda w: arrays.banned_next(w, 2)).alias("banned"), arrays.tail(ids, 3).alias("tail"), F.size(arrays.padded(ids, 12, F.lit(0))).alias("width"))
 
 
 @query("""SELECT a.vec_id, round(list_max(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS most,

@@ -175,7 +175,10 @@ def gap_table(t: Tables):
     return p.join(m, "domain", "left").join(b, "domain", "left").select("domain", "planned", F.round(held, 2).alias("held"), "items", F.round(F.col("planned") / F.nullif(held, F.lit(0.0)), 6).alias("passes"), verdict.alias("verdict"))
 
 
-@query()
+@query("""
+    WITH r AS (SELECT id, list_transform(['a', 'b'], lambda k: ('0x' || substr(sha256('0:' || k || ':' || id), 1, 8))::UBIGINT) AS h FROM range(2000) t(id)),
+    p AS (SELECT min(id) AS id, 100 + h[1] % 900 AS a, 100 + h[2] % 900 AS b FROM r GROUP BY ALL)
+    SELECT id, 'What is ' || a || ' + ' || b || '?' AS prompt, array_to_string(string_split(CAST(a AS VARCHAR), ''), ' ') || ' + ' || array_to_string(string_split(CAST(b AS VARCHAR), ''), ' ') || ' = ' || (a + b) AS response, CAST(a + b AS VARCHAR) AS answer FROM p""")
 def generated_arithmetic(t: Tables):
     """Generated additions with their answers."""
     from corpusmill.operators import sft

@@ -7,7 +7,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import logs, tokenizer
+from corpusmill.functions import arrays
+from corpusmill.operators import logs, sampling, tokenizer
 from corpusmill.plans.registry import Tables, query
 from corpusmill.sources import documents as src
 
@@ -117,12 +118,23 @@ def bpe_train(t: Tables):
 
 @query()
 def bpe_encode(t: Tables):
-    """All benchmark texts as ids; decoded, they are the texts."""
-    v = _vocabulary(t.folder, t.spark)
-    rows = tokenizer.encode(t.benchmark.withColumnRenamed("item_id", "doc_id"), v, eos=0)
+    """All documents as ids of the benchmark's vocabulary."""
+    rows = tokenizer.encode(t.documents, _vocabulary(t.folder, t.spark), eos=0)
     return rows.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
+@query()
+def bpe_stats(t: Tables):
+    """Per source: documents, tokens, bytes a token, the share of single-byte tokens, and texts that don't come back whole."""
+    return tokenizer.statistics(t.documents, _vocabulary(t.folder, t.spark), "source")
+
+
+@query()
+def vocabulary_checks(t: Tables):
+    """Named checks of the vocabulary over all documents."""
+    return tokenizer.verify(t.documents, _vocabulary(t.folder, t.spark))
+
+
 _IDS = "ids AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: 1 + length(w)) || [0] AS ids, source AS file FROM documents)"
 
 
@@ -148,13 +160,14 @@ def vocabulary_agreement(t: Tables):
     e AS (SELECT doc_id, id, count(*) FILTER (id = 0) OVER (PARTITION BY doc_id % 10 ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run, doc_id % 10 AS stream FROM x)
     SELECT stream, run, count(*) AS n, min(doc_id) AS doc_id FROM e GROUP BY ALL""")
 def eos_boundaries(t: Tables):
-    """Ten streams of ids, cut into documents at end ids."""
-    from pyspark.sql import Window
-
-    x = _id_rows(t).select("doc", (F.col("doc") % 10).alias("stream"), F.posexplode("ids").alias("i", "id"))
-    w = Window.partitionBy("stream").orderBy("doc", "i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = x.withColumn("run", F.count(F.when(F.col("id") == 0, 1)).over(w))
-    return rows.groupBy("stream", "run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc_id"))
+    """Ten streams of ids, cut into documents at end ids: ends are counted in each row's array, and summed over rows, not tokens."""
+    rows = _id_rows(t).select("doc", (F.col("doc") % 10).alias("stream"), "ids")
+    ends = F.size(F.filter("ids", lambda i: i == 0))
+    rows = sampling.ranked(rows, ["doc"], ["stream"], ends)
+    cut = lambda ids: F.array_append(F.filter(F.transform(ids, lambda x, i: F.when(x == 0, i + 1)), lambda x: x.isNotNull()), F.size(ids))
+    sizes = arrays.let(F.col("ids"), lambda ids: arrays.let(cut(ids), lambda c: F.transform(c, lambda end, k: end - F.when(k > 0, F.get(c, k - 1)).otherwise(0))))
+    runs = rows.select("stream", "doc", "_before", F.posexplode(sizes).alias("k", "n")).where("n > 0")
+    return runs.groupBy("stream", (F.col("_before") + F.col("k")).alias("run")).agg(F.sum("n").alias("n"), F.min("doc").alias("doc_id"))
 
 
 @query(f"""WITH {_IDS}, s AS (SELECT doc_id, ids, unnest(range(0, len(ids), 64)) AS start FROM ids) SELECT doc_id, start, CAST(len(ids[start + 1:start + 65]) AS BIGINT) AS n FROM s WHERE start < len(ids) - 64""")

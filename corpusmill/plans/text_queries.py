@@ -287,12 +287,12 @@ def stable_pick_per_group(t: Tables):
     SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY lang) >= 2 AND row_number() OVER (PARTITION BY lang ORDER BY sha1(CAST(doc_id AS VARCHAR)))
         <= greatest(1, round_even(count(*) OVER (PARTITION BY lang) * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM documents""")
 def document_split(t: Tables):
-    return sampling.fixed_count_split(t.documents, F.col("doc_id").cast("string"), 0.1, ["lang"]).select("doc_id", "split")
+    return sampling.fixed_count_split(t.documents.select("doc_id", "lang"), F.col("doc_id").cast("string"), 0.1, ["lang"]).select("doc_id", "split")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE n % 7 = 3")
 def stride_sample(t: Tables):
-    return sampling.every_kth(t.documents, ["doc_id"], 7, 3).select("doc_id")
+    return sampling.every_kth(t.documents.select("doc_id"), ["doc_id"], 7, 3).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id // 10 % 8 IN (2, 6)")
@@ -303,7 +303,7 @@ def block_sample(t: Tables):
 @query("""
     SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b < 20000""")
 def budget_sample(t: Tables):
-    return sampling.until_budget(t.documents, F.col("n_chars"), "doc_id", 20_000, ["source"]).select("doc_id")
+    return sampling.until_budget(t.documents.select("doc_id", "source", "n_chars"), F.col("n_chars"), "doc_id", 20_000, ["source"]).select("doc_id")
 
 
 @query("""
@@ -311,7 +311,7 @@ def budget_sample(t: Tables):
                       row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
     SELECT source, doc_id, least(n_chars, 15000) AS taken FROM x WHERE e <= 3000 OR r = 1""")
 def capped_mix(t: Tables):
-    return sampling.capped_mix(t.documents, F.col("n_chars"), "source", "doc_id", 3000).select("source", "doc_id", "taken")
+    return sampling.capped_mix(t.documents.select("doc_id", "source", "n_chars"), F.col("n_chars"), "source", "doc_id", 3000).select("source", "doc_id", "taken")
 
 
 @query("""

@@ -25,6 +25,17 @@ def expect_files(df: DataFrame, n: int) -> DataFrame:
     return df
 
 
+def first_files(paths: list[str], most: int | None) -> list[str]:
+    """The first files of a sorted list without repeats; all without a bound."""
+    return sorted(dict.fromkeys(paths))[:most]
+
+
+def pdf_files(spark: SparkSession, path: str, most_bytes: int = 40 << 20) -> DataFrame:
+    """(file, length, content) of the PDF files of a folder: no larger than a bound, and with the format's first bytes."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
+    return rows.where(F.substring("content", 1, 4) == F.lit(b"%PDF")).select(F.col("path").alias("file"), "length", "content")
+
+
 def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, text) of whole text files, gzip too; invalid bytes become U+FFFD, all folders below are read."""
     reader = spark.read.option("recursiveFileLookup", "true")

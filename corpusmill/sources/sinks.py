@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +32,30 @@ def rewrite(df: DataFrame, path: str, block_bytes: int = 64 << 20) -> None:
     df.write.option("compression", "zstd").option("parquet.block.size", str(block_bytes)).parquet(path)
 
 
+def fingerprint(**parts) -> str:
+    """A hash of everything that determines a job's output: inputs, settings, versions."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+
+def write_once(df: Callable[[], DataFrame], path: str, mark: str, spark: SparkSession) -> bool:
+    """Writes a job's table as Parquet unless one of the same fingerprint is there already; whether it was written.
+
+    A folder is done if its mark is: the mark is written last, so a job that died is done anew. The table is only planned if it is needed.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_job_{mark}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place):
+        return False
+    df().write.mode("overwrite").parquet(path)
+    files.create(place, True).close()
+    return True
+
+
+def stamped(df: DataFrame) -> DataFrame:
+    """Adds ``written_at``: the time of the query in UTC, to the second."""
+    return df.withColumn("written_at", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def write_curve(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").csv(path)
 

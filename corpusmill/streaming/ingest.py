@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +21,20 @@ def run_available(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
 
 
+def stop_when(query: StreamingQuery, path: str, every: float = 5.0, timeout: float | None = None) -> bool:
+    """Waits for a stream, and stops it after its batch once a stop file is there; whether that was the reason it ended."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    end = None if timeout is None else time.monotonic() + timeout
+    while query.isActive and (end is None or time.monotonic() < end):
+        if files.exists(place):
+            query.stop()
+            return True
+        query.awaitTermination(every)
+    return False
+
+
 def distinct_texts(stream: DataFrame) -> DataFrame:
     """First copies by normal form, over the stream's whole life: state grows by a key of 16 bytes per kept document."""
     return stream.withColumn("_key", F.unhex(F.md5(tx.normal_form("text")))).dropDuplicates(["_key"]).drop("_key")

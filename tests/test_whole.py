@@ -81,6 +81,7 @@ def test_vocabulary_of_all_pieces(spark, tmp_path):
     got_ = [bytes(r.token) for r in sorted(catalogue.QUERIES["bpe_train"](spark, folder).collect(), key=lambda r: r.id)]
     assert got_ == want and want[256] == b"qx"
     ids = tokenizer.Vocabulary(want)
+    written(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
     sizes = got(spark, folder, "bpe_encode", "doc_id")
     assert [sizes[i]["n"] for i in range(len(texts))] == [1 + sum(len(ids.encode_piece(p)) for p in row) for row in rows]
 
@@ -121,4 +122,5 @@ def test_codecs_of_whole_texts(spark, tmp_path):
     for i, text in enumerate(texts):
         raw = text.encode()
         assert coded[i] == {"doc_id": i, "b": base64.b64encode(raw).decode(), "back": text, "n": len(text), "bytes": len(raw)}
-        assert escaped[i]["p"] == text.replace("\\", "\\\\").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r").replace("\x00", "\\x00")
+        letters = {10: "\\n", 13: "\\r", 9: "\\t"}
+        assert escaped[i]["p"] == "".join(chr(x) if 32 <= x <= 126 else letters.get(x, f"\\x{x:02X}") for x in raw + b"\ta\\b")
