@@ -4,18 +4,23 @@ A line's tokens are its distinct words, A-Z lower-cased. Two lines match if the
 their token sets is 0.8 or more; a line goes if any line before it, in the order of doc_id and line
 number, matches it. Lines of equal sets are one class, and only classes are joined:
 
+  * texts are read once: their lines with words, the frequencies of tokens and the numbers of lines are stored;
   * tokens are ordered by rarity. Frequencies are counted over all lines, in a table of fixed size that is
     indexed by the token's hash; any order that all lines share gives right results, and a rare-first one short lists;
-  * matching sets share a token of their prefixes, so classes meet by prefix token; length and positional
-    filters, and a parity sketch that bounds the symmetric difference, leave few pairs. A sketch has 64 bits, and
+  * matching sets share a token of their prefixes (a shorter one for the smaller set), so classes meet by prefix token; length and
+    positional filters, and a parity sketch that bounds the symmetric difference, leave few pairs. A sketch has 64 bits, and
     twice as many for each doubling of a set over 64 tokens; a wide one folds into a narrow one;
-  * each class first has its nearest pair verified on the words themselves. Classes that have more pairs and
+  * prefix tokens travel in packed blocks, a row for a bucket of tokens, not a row for each token. A bucket with more than ``HOT`` entries, known
+    from the stored blocks, is split in shards that meet pair by pair; tasks hold a bucket or a pair of shards at a time;
+  * each class first has its nearest pairs verified on the words themselves. Classes that have more pairs and
     no match yet then have all their pairs verified, so that a large group of near copies does not
-    give all its pairs, and no match is lost;
-  * a prefix token with more than ``HOT`` classes is split in shards that meet pair by pair.
+    give all its pairs, and no match is lost.
+
+Lines are one class if two 64-bit sums over their distinct words and the number of these agree; the words of members are not
+compared again. A link between different classes is only made on the words themselves.
 
 Defined results:
-  * a null text is the empty text, of one empty line; a line without words is always kept and matches nothing;
+  * a text of any length is read whole, and so is a line; a null text is the empty text, of one empty line; a line without words is always kept and matches nothing;
   * rows of one doc_id count as one place: lines of equal sets at equal places are both kept or both go;
   * a null doc_id comes before all others; an empty table gives no rows; other columns are ignored.
 """
@@ -29,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.arrowtext import RollingHash, lower_ascii, mix, runs, word_spans
+from corpusmill.llm.arrowtext import RollingHash, lower_ascii, mix, release, runs, word_spans
+from corpusmill.operators.ngrams import small
 from corpusmill.scratch import materialize
 
 THRESHOLD = (4, 5)  # the similarity as a fraction: comparisons stay in whole numbers
@@ -42,6 +48,11 @@ SENT_TOKENS = 1_000_000
 #: Lists of no more classes are compared as a whole; longer ones in blocks of ``BLOCK`` against ``STEP``, until each class has more than ``FIRST`` pairs.
 LARGE, BLOCK, STEP = 2048, 512, 2048
 PAIRS = 1 << 20
+#: Postings of about so many go to a bucket; a worker packs so many at a time, in rows of at most so many; groups are joined up to so many.
+PER_BUCKET, FLUSH, PER_ROW, GROUPED = 8192, 1 << 19, 4096, 1 << 16
+
+#: The place of documents without an id: before all others.
+_NO_ID = -(1 << 63)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -83,18 +94,6 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNT_BITS, np.int64)
-    for batch in batches:
-        for _, _, buf, offsets in runs(batch.column(0)):
-            low = lower_ascii(buf)
-            starts, ends, _ = word_spans(~_SPACE[low], offsets)
-            total += np.bincount(_bucket(RollingHash(low).of(starts, ends)), minlength=len(total))
-    blocks = total.reshape(-1, COUNT_BLOCK)
-    some = np.flatnonzero(blocks.any(axis=1))
-    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some.tolist()], pa.binary())], names=["block", "n"])
-
-
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -104,9 +103,9 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "n"])
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """Occurrences of the tokens of each bucket: a table of fixed size, from all texts. Parts are summed by block, in a stream."""
-    parts = texts.select("text").mapInArrow(_count_rows, "block int, n binary")
+def rarity(prepared: DataFrame) -> np.ndarray:
+    """Lines that have the tokens of each bucket: a table of fixed size, from all texts. Parts are summed by block, in a stream."""
+    parts = prepared.where("block IS NOT NULL").select("block", F.col("line").alias("n"))
     out = np.zeros(1 << COUNT_BITS, np.int64)
     for r in parts.repartition("block").mapInArrow(_sum_rows, "block int, n binary").toLocalIterator():
         out[r["block"] * COUNT_BLOCK : (r["block"] + 1) * COUNT_BLOCK] = np.frombuffer(r["n"], np.int64)
@@ -119,17 +118,39 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-n * p // q) + 1
 
 
+def index_size(n: np.ndarray) -> np.ndarray:
+    """Tokens of a set of n of which a matching set that is no smaller must have one among its ``prefix_size`` first."""
+    p, q = THRESHOLD
+    return n - -(-2 * n * p // (p + q)) + 1
+
+
 _LINES = pa.schema([("d", pa.int64()), ("l", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("k", pa.int64()), ("line", pa.large_binary())])
 _LINES_DDL = "d long, l int, n int, sig long, k long, line binary"
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Tally:
+    """What a task counts beside its lines: lines with a token, by the token's bucket, and documents' numbers of lines."""
+
+    def __init__(self):
+        self.tokens = np.zeros(1 << COUNT_BITS, np.int64)
+        self.documents: list[pa.RecordBatch] = []
+
+    def add(self, doc_id: pa.Array, h: np.ndarray, n: np.ndarray, owner: np.ndarray) -> None:
+        self.tokens += np.bincount(_bucket(h), minlength=len(self.tokens))
+        total = np.bincount(owner, minlength=len(doc_id))
+        blank = np.bincount(owner[n == 0], minlength=len(doc_id))
+        self.documents.append(pa.record_batch([doc_id, pa.array(total), pa.array(blank)], names=["doc_id", "n_lines", "n_blank"]))
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch], tally: _Tally | None = None) -> Iterator[pa.RecordBatch]:
     """A row for each line that has words."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, _, buf, offsets in runs(batch.column(1)):
+        ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        for a, b, buf, offsets in runs(batch.column(1)):
             h, line, line_start, line_end, owner, number = _lines(buf, offsets)
             n = np.bincount(line, minlength=len(line_start))
+            if tally:
+                tally.add(batch.column(0).slice(a, b - a), h, n, owner)
             some = np.flatnonzero(n)
             if not len(some):
                 continue
@@ -142,14 +163,39 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids[a + owner[some]]), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(sketch.view(np.int64)), text], schema=_LINES)
 
 
-def _places(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), "text")
+_PREPARED = pa.schema([*_LINES, ("block", pa.int32()), ("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_blank", pa.int64())])
+_PREPARED_DDL = f"{_LINES_DDL}, block int, doc_id long, n_lines long, n_blank long"
+
+
+def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    own = {f.name: batch.column(f.name).cast(f.type) for f in _PREPARED if f.name in batch.schema.names}
+    return pa.record_batch([own.get(f.name, pa.nulls(batch.num_rows, f.type)) for f in _PREPARED], schema=_PREPARED)
+
+
+def _prepared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lines; at times rows of documents; and last the task's counts of tokens, in blocks."""
+    tally = _Tally()
+    for batch in batches:
+        for rows in _line_rows(iter([batch]), tally):
+            yield _padded(rows)
+        for rows in tally.documents:
+            yield _padded(rows)
+        tally.documents.clear()
+    blocks = tally.tokens.reshape(-1, COUNT_BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    yield _padded(pa.record_batch([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some.tolist()], pa.large_binary())], names=["block", "line"]))
+    release()
+
 
+def prepared_lines(documents: DataFrame) -> DataFrame:
+    """Texts read once: rows of lines with words, of documents (``n_lines`` isn't null) and of counted tokens (``block`` isn't null)."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prepared_rows, _PREPARED_DDL)
+    return materialize(rows, "line-rows", compression="zstd")
 
-def classes(documents: DataFrame) -> DataFrame:
+
+def classes(prepared: DataFrame) -> DataFrame:
     """(d, l, k, n, line): the first line of each distinct set of tokens."""
-    lines = _places(documents).mapInArrow(_line_rows, _LINES_DDL)
-    first = lines.groupBy("sig", "k", "n").agg(F.min(F.struct("d", "l", "line")).alias("first"))
+    first = prepared.where("n IS NOT NULL").groupBy("sig", "k", "n").agg(F.min(F.struct("d", "l", "line")).alias("first"))
     return materialize(first.select("first.d", "first.l", "k", "n", "first.line"), "line-classes", compression="zstd")
 
 
@@ -180,7 +226,7 @@ def _wide_sketches(h: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.n
     return out, at
 
 
-def _posting_rows(counts: np.ndarray, over: int, wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posting_rows(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offsets in runs(batch.column(4)):
             low = lower_ascii(buf)
@@ -199,13 +245,7 @@ def _posting_rows(counts: np.ndarray, over: int, wanted: np.ndarray | None, batc
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             of = np.repeat(np.arange(b - a), size)
             token = h[rank][np.repeat(np.cumsum(n) - n, size) + at]
-            chosen = counts[_bucket(token)] > over if over else np.ones(len(token), bool)
-            if wanted is not None:
-                chosen &= len(wanted) > 0 and wanted[np.minimum(np.searchsorted(wanted, token.view(np.int64)), len(wanted) - 1)] == token.view(np.int64)
-            if not chosen.any():
-                continue
-            token, of, at = token[chosen], of[chosen], at[chosen]
-            words, begin = (np.empty(0, np.uint64), np.zeros(b - a + 1, np.int64)) if over else _wide_sketches(h, line, n)
+            words, begin = _wide_sketches(h, line, n)
             width = np.diff(begin)[of]
             edges = np.concatenate([[0], np.cumsum(width)])
             flat = words[np.arange(edges[-1]) + np.repeat(begin[of] - edges[:-1], width)].view(np.int64)
@@ -214,6 +254,83 @@ def _posting_rows(counts: np.ndarray, over: int, wanted: np.ndarray | None, batc
             yield pa.record_batch([*(pa.array(c) for c in columns), wide], schema=_POSTINGS)
 
 
+_FIXED = (("token", np.int64), ("d", np.int64), ("k", np.int64), ("l", np.int32), ("n", np.int32), ("at", np.int32))
+_BLOCKS = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), ("payload", pa.binary())])
+_BLOCKS_DDL = "bucket int, m int, payload binary"
+
+
+def _posting_blocks(counts: np.ndarray, bits: int, flush: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings packed by the first ``bits`` of their token: arrays one after another, then sketches, whose widths follow from the sizes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        columns = {c: np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]).astype(t) for c, t in _FIXED}
+        words, begin = _joined_sketches(held)
+        held.clear()
+        bucket = (columns["token"].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        columns = {c: x[by] for c, x in columns.items()}
+        width = np.diff(begin)[by]
+        upto = np.concatenate([[0], np.cumsum(width)])
+        words = words[np.arange(upto[-1]) + np.repeat(begin[:-1][by] - upto[:-1], width)] if upto[-1] else words[:0]
+        bucket = bucket[by]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        starts = np.concatenate([np.arange(a, b, rows) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+        ends = np.append(starts[1:], len(bucket))
+        names, payloads = bucket[starts].astype(np.int32), []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            payloads.append(b"".join([columns[c][a:b].tobytes() for c, _ in _FIXED]) + words[upto[a] : upto[b]].tobytes())
+        for k in range(0, len(payloads), 1 << 14):
+            part = slice(k, k + (1 << 14))
+            yield pa.record_batch([pa.array(names[part]), pa.array((ends - starts)[part].astype(np.int32)), pa.array(payloads[part], pa.binary())], schema=_BLOCKS)
+
+    for batch in _posting_rows(counts, batches):
+        held.append(batch)
+        total += batch.num_rows
+        if total >= flush:
+            yield from packed()
+            total = 0
+    if held:
+        yield from packed()
+    release()
+
+
+def _joined_sketches(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of all batches' rows as words, and where each row's begin and the last one ends."""
+    words, begin, total = [np.empty(0, np.int64)], [np.zeros(1, np.int64)], 0
+    for batch in batches:
+        wide = batch.column("wide")
+        edges = wide.offsets.to_numpy().astype(np.int64)
+        words.append(wide.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]])
+        begin.append(edges[1:] - edges[0] + total)
+        total += int(edges[-1] - edges[0])
+    return np.concatenate(words), np.concatenate(begin)
+
+
+def _unpacked(m: int, payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    out, at = {}, 0
+    for c, t in _FIXED:
+        out[c] = np.frombuffer(payload, t, m, at)
+        at += m * np.dtype(t).itemsize
+    return out, np.frombuffer(payload, np.int64, -1, at)
+
+
+def _unpacked_rows(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the postings in blocks, those of wanted tokens if a sorted array is given."""
+    for batch in batches:
+        for m, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            columns, words = _unpacked(m, payload)
+            token = columns["token"]
+            chosen = np.ones(m, bool) if wanted is None else (len(wanted) > 0) & (wanted[np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)] == token)
+            if not chosen.any():
+                continue
+            width = np.where((level := _level(columns["n"])) > 0, 1 << level, 0)
+            edges = np.concatenate([[0], np.cumsum(width[chosen])])
+            wide = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(words[np.repeat(chosen, width)]))
+            yield pa.record_batch([*(pa.array(columns[f.name][chosen]) for f in _POSTINGS if f.name != "wide"), wide], schema=_POSTINGS)
+
+
 _PAIRS = pa.schema([*((f"{c}{i}", t) for i in (1, 2) for c, t in (("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()))), ("more", pa.bool_())])
 _PAIRS_DDL = "d1 long, l1 int, k1 long, d2 long, l2 int, k2 long, more boolean"
 
@@ -221,7 +338,8 @@ _PAIRS_DDL = "d1 long, l1 int, k1 long, d2 long, l2 int, k2 long, more boolean"
 class _Lists:
     """Classes that share prefix tokens; finds pairs (later, earlier) that pass all filters."""
 
-    def __init__(self, token: np.ndarray, d: np.ndarray, l_: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray, probe: np.ndarray, wide: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, token: np.ndarray, d: np.ndarray, l_: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray, probe: np.ndarray, wide: tuple[np.ndarray, np.ndarray], limits: tuple[int, int, int] | None = None):
+        self.large, self.block, self.step = limits or (LARGE, BLOCK, STEP)
         by = np.lexsort((n, token))
         words, begin = wide
         level = _level(n)[by]
@@ -233,6 +351,7 @@ class _Lists:
             own = words[begin[by[mine]][:, None] + np.arange(1 << e)[None]].view(np.uint64)
             self.sketches[e], self.folded[e] = own, own[:, : 1 << (e - 1)] ^ own[:, 1 << (e - 1) :]
         self.token, self.d, self.l, self.k, self.n, self.at, self.probe = (x[by] for x in (token, d, l_, k.view(np.uint64), n.astype(np.int64), at.astype(np.int64), probe))
+        self.index = self.at < index_size(self.n)
         order = np.lexsort((self.k, self.l, self.d))
         same = np.concatenate([[False], (self.d[order][1:] == self.d[order][:-1]) & (self.l[order][1:] == self.l[order][:-1])])
         self.place = np.empty(len(order), np.int64)  # equal for equal places
@@ -244,7 +363,7 @@ class _Lists:
         p, q = THRESHOLD
         n, m = self.n[i], self.n[j]
         need = -(-(n + m) * p // (p + q))
-        ok = np.bitwise_count(self.k[i] ^ self.k[j]) <= n + m - 2 * need
+        ok = (np.bitwise_count(self.k[i] ^ self.k[j]) <= n + m - 2 * need) & self.index[i]
         i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
         ok = np.minimum(n - self.at[i], m - self.at[j]) >= need
         i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
@@ -269,9 +388,9 @@ class _Lists:
         group = np.repeat(np.arange(len(low)), high - low)
         wide = int(self.n.max()) * q // p + 2
         upper = np.searchsorted(group * wide + self.n, group * wide + self.n * q // p, side="right")
-        large = np.repeat((high - low) > LARGE, high - low) & (not everything)
+        large = np.repeat((high - low) > self.large, high - low) & (not everything)
         mine = np.arange(len(group))
-        count = np.where(large, 0, upper - mine - 1)
+        count = np.where(large | ~self.index, 0, upper - mine - 1)
         upto = np.cumsum(count)
         a = 0
         while a < len(mine):
@@ -281,7 +400,7 @@ class _Lists:
                 i = np.repeat(mine[a:b], c)
                 yield self._kept(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c))
             a = b
-        for lo, hi in zip(low[high - low > LARGE].tolist(), high[high - low > LARGE].tolist(), strict=True) if not everything else ():
+        for lo, hi in zip(low[high - low > self.large].tolist(), high[high - low > self.large].tolist(), strict=True) if not everything else ():
             yield from self._large(lo, hi, upper)
 
     def _large(self, lo: int, hi: int, upper: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -289,7 +408,7 @@ class _Lists:
 
         A class is left once it has more than ``FIRST`` pairs, no earlier: only then is it marked to have more, and sought again as a whole.
         """
-        block, step = BLOCK, STEP
+        block, step = self.block, self.step
         found = np.zeros(hi - lo, np.int64)
         lower = np.searchsorted(upper[lo:hi], np.arange(lo, hi), side="right") + lo  # the first whose sizes reach a member
         for a in range(lo, hi, block):
@@ -309,19 +428,47 @@ class _Lists:
 
 
 def _pair_partition(everything: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns, words, begin, total = [[] for _ in range(7)], [], [], 0
-    for batch in batches:
-        for own, c in zip(columns, batch.columns[:7], strict=True):
-            own.append(c.to_numpy(zero_copy_only=False))
-        wide = batch.column(7)
-        edges = wide.offsets.to_numpy().astype(np.int64)
-        words.append(wide.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]])
-        begin.append(edges[:-1] - edges[0] + total)
-        total += int(edges[-1] - edges[0])
-    if not columns[0]:
-        return
-    lists = _Lists(*(np.concatenate(c) for c in columns), (np.concatenate(words), np.concatenate(begin)))
+    """Pairs among postings given as rows."""
+    held = list(batches)
+    if sum(x.num_rows for x in held):
+        words, begin = _joined_sketches(held)
+        columns = [np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("token", "d", "l", "k", "n", "at", "probe")]
+        yield from _pair_rows(_Lists(*columns, (words, begin)), everything)
+
+
+def _pair_blocks(limits: tuple[int, int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs among postings in blocks, which come by group: groups are joined until they are worth a pass, and only one of that size is held."""
+    held: dict[str, list[np.ndarray]] = {c: [] for c, _ in _FIXED}
+    sketches, total, last = [], 0, None
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        columns = {c: np.concatenate(x) for c, x in held.items()}
+        level = _level(columns["n"])
+        begin = np.concatenate([[0], np.cumsum(np.where(level > 0, 1 << level, 0))])
+        lists = _Lists(*(columns[c] for c in ("token", "d", "l", "k", "n", "at")), np.ones(len(begin) - 1, bool), (np.concatenate(sketches), begin), limits)
+        yield from _pair_rows(lists, False)
+        for x in held.values():
+            x.clear()
+        sketches.clear()
 
+    for batch in batches:
+        for group, sharded, m, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != last and total >= GROUPED:
+                yield from pairs()
+                total = 0
+            last = group
+            columns, words = _unpacked(m, payload)
+            for c, x in columns.items():
+                # A token's lists in different pairs of shards stay apart.
+                held[c].append(x ^ np.int64(group) if sharded and c == "token" else x)
+            sketches.append(words)
+            total += m
+    if total:
+        yield from pairs()
+    release()
+
+
+def _pair_rows(lists: _Lists, everything: bool) -> Iterator[pa.RecordBatch]:
     def rows(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         own = [x for y in (i, j) for x in (lists.d[y], lists.l[y], lists.k[y].view(np.int64))]
         return pa.record_batch([pa.array(x) for x in (*own, more)], schema=_PAIRS)
@@ -383,20 +530,37 @@ def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "d long, l int, k long").distinct()
 
 
-def _postings(table: DataFrame, counts, over: int = 0, wanted=None) -> DataFrame:
-    """(token, d, l, k, n, at): a row for each prefix token of classes that can match others; ``at`` tokens come before it.
-
-    With ``over``, only of tokens that may occur more often, and without sketches: no others can have a longer list.
-    With ``wanted``, a broadcast sorted array, only of those tokens.
-    """
+def _matchable(table: DataFrame) -> DataFrame:
+    """Classes that can match others: smaller sets match their equals only."""
     p, q = THRESHOLD
-    rows = table.where(F.col("n") * (q - p) >= p)  # smaller sets match their equals only
-    return rows.select("d", "l", "k", "n", "line").mapInArrow(lambda batches: _posting_rows(counts.value, over, wanted and wanted.value, batches), _POSTINGS_DDL)
+    return table.where(F.col("n") * (q - p) >= p).select("d", "l", "k", "n", "line")
 
 
-def _met(postings: DataFrame, suspects: DataFrame, everything: bool, hot: int) -> DataFrame:
-    """Pairs of classes that share a prefix token and pass the filters; ``suspects`` are the postings of tokens that may be hot."""
-    large = materialize(suspects.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("token", F.ceil(F.col("m") / hot).cast("int").alias("shards")), "line-hot")
+def _blocks(table: DataFrame, counts) -> tuple[DataFrame, int]:
+    """Packed postings of all prefix tokens, stored, and the number of buckets' bits."""
+    p, q = THRESHOLD
+    rows = _matchable(table)
+    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * p / q) + 1).alias("n")).first()["n"] or 0
+    bits = min(max(int(total // PER_BUCKET).bit_length(), 4), 24)
+    return materialize(rows.mapInArrow(lambda batches: _posting_blocks(counts.value, bits, FLUSH, PER_ROW, batches), _BLOCKS_DDL), "line-blocks", compression="zstd"), bits
+
+
+def _grouped(blocks: DataFrame, hot: int) -> DataFrame:
+    """(group, sharded, m, payload): blocks by bucket; those of hot buckets once for each pair of shards that theirs is in."""
+    sizes = blocks.groupBy("bucket").agg(F.sum("m").alias("n")).where(F.col("n") > hot)
+    large = materialize(sizes.select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("shards")), "line-hot")
+    if large.isEmpty():
+        return blocks.select(F.col("bucket").cast("long").alias("group"), F.lit(False).alias("sharded"), "m", "payload")
+    rows = blocks.join(small(large), "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    own = F.pmod(F.xxhash64("m", F.substring("payload", 1, 256)), F.col("shards")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    group = F.when(F.col("shards") == 1, F.col("bucket").cast("long")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select(group.alias("group"), (F.col("shards") > 1).alias("sharded"), "m", "payload")
+
+
+def _met(postings: DataFrame, everything: bool, hot: int) -> DataFrame:
+    """Pairs of classes that share a prefix token and pass the filters, from postings as rows."""
+    large = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("token", F.ceil(F.col("m") / hot).cast("int").alias("shards")), "line-hot")
     if not large.isEmpty():
         rows = postings.join(large, "token", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("d", "l", "k"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -405,59 +569,54 @@ def _met(postings: DataFrame, suspects: DataFrame, everything: bool, hot: int) -
     return rows.mapInArrow(lambda batches: _pair_partition(everything, batches), _PAIRS_DDL)
 
 
-def matched_classes(table: DataFrame, counts, hot: int = HOT) -> DataFrame:
-    """(d, l, k) of the classes that an earlier class matches."""
+def matched_classes(table: DataFrame, counts, hot: int = HOT, limits: tuple[int, int, int] = (LARGE, BLOCK, STEP), sent: int = SENT_TOKENS) -> DataFrame:
+    """(d, l, k) of the classes that an earlier class matches.
+
+    ``limits`` are the sizes of lists and blocks in the first pass; beyond ``sent`` tokens, those of open classes are joined, not sent.
+    """
     keys = ["d", "l", "k"]
-    pairs = materialize(_met(_postings(table, counts).withColumn("probe", F.lit(True)), _postings(table, counts, hot), False, hot), "line-pairs")
-    distinct = pairs.groupBy("d1", "l1", "k1", "d2", "l2", "k2").agg(F.max("more").alias("more"))
-    found = materialize(_verified(distinct.drop("more"), table), "line-matched")
+    blocks, _ = _blocks(table, counts)
+    grouped = _grouped(blocks, hot).repartition("group").sortWithinPartitions("group")
+    pairs = materialize(grouped.mapInArrow(lambda batches: _pair_blocks(limits, batches), _PAIRS_DDL), "line-pairs")
+    distinct = pairs.select("d1", "l1", "k1", "d2", "l2", "k2").distinct()
+    found = materialize(_verified(distinct, table), "line-matched")
     several = pairs.groupBy(*[F.col(f"{c}1").alias(c) for c in keys]).agg(F.max("more").alias("more")).where("more").drop("more")
     open_ = materialize(several.join(found, keys, "left_anti"), "line-open")
     if open_.isEmpty():
         return found
-    probes = _postings(table.join(open_, keys, "left_semi"), counts)
+    probes = _matchable(table.join(open_, keys, "left_semi")).mapInArrow(lambda batches: _posting_rows(counts.value, batches), _POSTINGS_DDL)
     tokens = materialize(probes.select("token").distinct(), "line-tokens")
-    if tokens.count() <= SENT_TOKENS:
-        wanted = np.sort(np.array([r["token"] for r in tokens.toLocalIterator()], np.int64))
-        near = _postings(table, counts, wanted=table.sparkSession.sparkContext.broadcast(wanted))
+    if tokens.count() <= sent:
+        wanted = table.sparkSession.sparkContext.broadcast(np.sort(np.array([r["token"] for r in tokens.toLocalIterator()], np.int64)))
+        near = blocks.mapInArrow(lambda batches: _unpacked_rows(wanted.value, batches), _POSTINGS_DDL)
     else:
-        near = _postings(table, counts).join(tokens, "token", "left_semi")
+        near = blocks.mapInArrow(lambda batches: _unpacked_rows(None, batches), _POSTINGS_DDL).join(tokens, "token", "left_semi")
     near = materialize(near.join(open_.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "line-near")
-    rest = materialize(_met(near, near, True, hot).drop("more").distinct(), "line-rest")
+    rest = materialize(_met(near, True, hot).drop("more").distinct(), "line-rest")
     return found.unionByName(_verified(rest, table))
 
 
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_blank", pa.int64())])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, buf, offsets in runs(batch.column(1)):
-            _, line, line_start, _, owner, _ = _lines(buf, offsets)
-            words = np.bincount(line, minlength=len(line_start)) > 0
-            total = np.bincount(owner, minlength=b - a)
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(total), pa.array(total - np.bincount(owner, words, b - a).astype(np.int64))], schema=_COUNTED)
-
-
-def kept_lines(documents: DataFrame) -> DataFrame:
+def kept_lines(prepared: DataFrame) -> DataFrame:
     """(d, kept): numbers, from 0, of the lines with words that stay, of each document that has some."""
-    table = classes(documents)
-    gone = matched_classes(table, documents.sparkSession.sparkContext.broadcast(rarity(documents)))
+    table = classes(prepared)
+    gone = matched_classes(table, prepared.sparkSession.sparkContext.broadcast(rarity(prepared)))
     stay = table.select("d", "l", "k").join(gone, ["d", "l", "k"], "left_anti")
     return stay.groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("kept"))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_blank, n_kept, kept): how many lines a document has, how many have no words, and which of the others stay."""
-    counted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, "doc_id long, n_lines long, n_blank long")
-    rows = counted.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(kept_lines(documents), "d", "left")
+    prepared = prepared_lines(documents)
+    counted = prepared.where("n_lines IS NOT NULL").select("doc_id", "n_lines", "n_blank")
+    rows = counted.withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID))).join(kept_lines(prepared), "d", "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", "n_blank", F.size(kept).cast("long").alias("n_kept"), F.array_join(kept.cast("array<string>"), ",").alias("kept"))
 
 
 def remove_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents, all columns kept, with the lines gone that an earlier line matches; lines without words stay."""
-    rows = documents.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(kept_lines(documents).withColumnRenamed("d", "_d").withColumnRenamed("kept", "_kept"), "_d", "left")
+    kept = kept_lines(prepared_lines(documents)).withColumnRenamed("d", "_d").withColumnRenamed("kept", "_kept")
+    rows = documents.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(kept, "_d", "left")
     stays = lambda line, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | ~line.rlike(r"[^\x20\x09-\x0D]")
     text = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n"))
     return rows.withColumn("text", text).select(*documents.columns)

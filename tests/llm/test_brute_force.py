@@ -135,12 +135,33 @@ def test_lines(spark, monkeypatch):
             if s:
                 seen.append(s)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    for large, hot in ((2048, 20_000), (8, 30)):
-        monkeypatch.setattr(linededup, "LARGE", large)
-        table = linededup.classes(df)
-        gone = {(r.d, r.l) for r in linededup.matched_classes(table, spark.sparkContext.broadcast(linededup.rarity(df)), hot).collect()} if large == 2048 else None
-        assert gone is None or gone
-        assert {r.doc_id: r.kept for r in linededup.report(df).collect()} == {d: ",".join(k) for d, k in want.items()}
+    assert {r.doc_id: r.kept for r in linededup.report(df).collect()} == {d: ",".join(k) for d, k in want.items()}
+    # Hot buckets in shards, long lists in blocks, rows split small, open classes' tokens sent and joined.
+    prepared = linededup.prepared_lines(df)
+    table, counts = linededup.classes(prepared), spark.sparkContext.broadcast(linededup.rarity(prepared))
+    kept = {(d, int(k)) for d, x in want.items() for k in x}
+    monkeypatch.setattr(linededup, "PER_ROW", 16)
+    stored = linededup._blocks(table, counts)[0]
+    assert linededup._grouped(stored, 30).where("sharded").count() > 0
+    for hot, limits, sent in ((30, (8, 4, 16), 1000), (30, (8, 2, 8), 0), (100_000, (4, 2, 4), 0)):
+        gone = {(r.d, r.l) for r in linededup.matched_classes(table, counts, hot, limits, sent).collect()}
+        assert {(r.d, r.l) for r in table.collect()} - gone == kept
+
+
+def test_first_pass_leaves_classes_open(spark, monkeypatch):
+    """Near misses whose sketches collide fill a class's first pairs: its match is found in the second pass."""
+    rng = random.Random(8)
+    stem = [f"s{i}" for i in range(30)]
+    lines = [" ".join([*stem[:26], *rng.sample([f"x{i}" for i in range(60)], 4)]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    prepared = linededup.prepared_lines(df)
+    table, counts = linededup.classes(prepared), spark.sparkContext.broadcast(linededup.rarity(prepared))
+    sets = [frozenset(x.split()) for x in lines]
+    matched = {i for i, x in enumerate(sets) if any(5 * len(x & y) >= 4 * len(x | y) and x != y for y in sets[:i])}
+    first = {r.d for r in table.collect()}
+    monkeypatch.setattr(linededup, "FIRST", 1)
+    for hot, sent in ((20_000, 1000), (40, 0)):
+        assert {r.d for r in linededup.matched_classes(table, counts, hot, (8, 4, 16), sent).collect()} == matched & first
 
 
 def test_long_lists_lose_no_match(monkeypatch):
@@ -165,7 +186,7 @@ def test_long_lists_lose_no_match(monkeypatch):
             counts[linededup._bucket(hashed(w))] = n
     texts = pa.record_batch([pa.array(range(len(sets)), pa.int64()), pa.array([" ".join(x) for x in sets])], names=["d", "text"])
     lines = [x.select(["d", "l", "k", "n", "line"]) for x in linededup._line_rows(iter([texts]))]
-    met = pa.Table.from_batches(linededup._posting_rows(counts, 0, None, iter(lines)))
+    met = pa.Table.from_batches(linededup._posting_rows(counts, iter(lines)))
     met = met.add_column(6, "probe", pa.array([True] * len(met))).combine_chunks().to_batches()
     for large, block, step in ((2048, 512, 2048), (8, 2, 8), (8, 4, 16), (16, 3, 5)):
         for name, value in (("LARGE", large), ("BLOCK", block), ("STEP", step)):
