@@ -9,6 +9,7 @@ Defined results:
   * null or empty text, or one without words: no words, no hits, not contaminated;
   * a benchmark item without words matches nothing; one of fewer words than a window is one window;
   * an item of null id is searched as all others, and its words count as hit; only its id is not listed nor counted in n_items;
+  * a text of any length is searched whole, in stretches;
   * items of equal text all count as found; an empty benchmark leaves every document clean;
   * repeated documents give repeated rows; other columns of either table are ignored.
 """

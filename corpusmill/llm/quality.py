@@ -9,6 +9,7 @@ every text, whole. Labels, languages, sources and ids are never inputs.
 
 Defined results:
   * a null text has the statistics of the empty text; both get a score;
+  * a text of any length is read whole; texts of equal statistics have equal scores, and a score of just 0.5 predicts 1;
   * without labelled rows every score is 0.5; with labels of one class, scores lean to it;
   * a label of null, or for no document, is not learned from; different labels of a document both count, equal ones once;
   * repeated rows give repeated rows; an empty table gives none; other columns are ignored.
@@ -238,7 +239,9 @@ def learn(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[li
     # Ranks are uniform: the bound keeps about the sample's size, whatever the table's.
     bound = f"{min(0xFFFFFFFF, int(sample / max(n, 1) * 0xFFFFFFFF)):08x}"
     few = usable.withColumn("rank", rank).where(F.substring("rank", 1, 8) <= bound)
-    rows = table.join(F.broadcast(few), "doc_id").select("rank", F.col("quality").cast("double").alias("quality"), *STATISTICS).toPandas()  # bounded by the sample
+    # Rows of one id with equal statistics teach once; of an id with more than one text, the least statistics do: an id is a row, and the sample's size bounds all.
+    own = table.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    rows = own.join(F.broadcast(few), "doc_id").select("rank", F.col("quality").cast("double").alias("quality"), "s.*").toPandas()
     rows = rows.sort_values(["rank", "quality", *STATISTICS], kind="stable")
     return fit(rows[list(STATISTICS)].to_numpy(float), (rows["quality"].to_numpy() > 0).astype(float))
 

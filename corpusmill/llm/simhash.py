@@ -13,6 +13,7 @@ hash, in a table that each round writes to the shared folder.
 
 Defined results:
   * a null or empty text, or one without words, has fingerprint 0, and is linked like any other;
+  * a text of any length is hashed whole, and held whole by one task;
   * a text of fewer than four words has a single shingle; a bit set in exactly half the shingles is 0;
   * a component's id is its least doc_id; null doc_ids count as none, and are given their component's id;
   * repeated rows give repeated rows; an empty table gives none; other columns are ignored.

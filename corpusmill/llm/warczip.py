@@ -11,7 +11,8 @@ Defined results:
   * of rows with equal payloads of ``least`` bytes or more, those of the largest id are responses,
     the others revisit that id; a null id is smaller than any other;
   * repeated rows give repeated records; an empty table gives no package and no rows;
-  * a null URL is written as an empty one; other columns are ignored.
+  * a null URL is written as an empty one, and line ends in a URL as %0D and %0A, which is how they are read back;
+  * a payload of any length is one record, held whole by one task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -231,10 +232,11 @@ def _write_partition(folder: str, package_bytes: int, batches: Iterator[pa.Recor
     writer, out, temporary, done = None, None, "", 0
 
     def finish() -> pa.RecordBatch:
-        # A package is published under its final name when it is whole; a retried task writes the same names.
+        # A package is published under its final name when it is whole. Names tell attempts apart, as two may see rows in different orders;
+        # the manifest, which Spark's committer publishes for one attempt only, decides which packages count.
         records = writer.close()
         out.close()
-        name = f"part-{task.partitionId():06d}-{done:04d}.wacz"
+        name = f"part-{task.partitionId():06d}-{done:04d}-{task.taskAttemptId()}.wacz"
         fs.move(temporary, f"{root}/{name}")
         return pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([records]), pa.array([writer.size])], schema=_MANIFEST)
 
