@@ -4,7 +4,7 @@ A line's tokens are its distinct words, A-Z lower-cased. Two lines match if the
 their token sets is 0.8 or more; a line goes if any line before it, in the order of doc_id and line
 number, matches it. Lines of equal sets are one class, and only classes are joined:
 
-  * texts are read once: their lines with words, the frequencies of tokens and the numbers of lines are stored;
+  * texts are read once: first lines of classes, the frequencies of tokens and the numbers of lines come from one pass and one shuffle;
   * tokens are ordered by rarity. Frequencies are counted over all lines, in a table of fixed size that is
     indexed by the token's hash; any order that all lines share gives right results, and a rare-first one short lists;
   * matching sets share a token of their prefixes (a shorter one for the smaller set), so classes meet by prefix token; length and
@@ -98,14 +98,14 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(n, np.int64)
+            own = np.frombuffer(n, np.uint32).astype(np.int64)
             total[block] = total[block] + own if block in total else own
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "n"])
 
 
-def rarity(prepared: DataFrame) -> np.ndarray:
+def rarity(table: DataFrame) -> np.ndarray:
     """Lines that have the tokens of each bucket: a table of fixed size, from all texts. Parts are summed by block, in a stream."""
-    parts = prepared.where("block IS NOT NULL").select("block", F.col("line").alias("n"))
+    parts = table.where(F.col("n") == _COUNTS).select(F.col("l").alias("block"), F.col("line").alias("n"))
     out = np.zeros(1 << COUNT_BITS, np.int64)
     for r in parts.repartition("block").mapInArrow(_sum_rows, "block int, n binary").toLocalIterator():
         out[r["block"] * COUNT_BLOCK : (r["block"] + 1) * COUNT_BLOCK] = np.frombuffer(r["n"], np.int64)
@@ -128,18 +128,37 @@ _LINES = pa.schema([("d", pa.int64()), ("l", pa.int32()), ("n", pa.int32()), ("s
 _LINES_DDL = "d long, l int, n int, sig long, k long, line binary"
 
 
+#: Rows of :func:`classes` that are no class, by their ``n``: counts of tokens, and packed numbers of lines.
+_COUNTS, _DOCUMENTS = -1, -2
+
+
 class _Tally:
     """What a task counts beside its lines: lines with a token, by the token's bucket, and documents' numbers of lines."""
 
     def __init__(self):
-        self.tokens = np.zeros(1 << COUNT_BITS, np.int64)
-        self.documents: list[pa.RecordBatch] = []
+        self.tokens = np.zeros(1 << COUNT_BITS, np.uint32)
+        self.documents: list[tuple[np.ndarray, ...]] = []
 
     def add(self, doc_id: pa.Array, h: np.ndarray, n: np.ndarray, owner: np.ndarray) -> None:
-        self.tokens += np.bincount(_bucket(h), minlength=len(self.tokens))
+        self.tokens += np.bincount(_bucket(h), minlength=len(self.tokens)).astype(np.uint32)
         total = np.bincount(owner, minlength=len(doc_id))
         blank = np.bincount(owner[n == 0], minlength=len(doc_id))
-        self.documents.append(pa.record_batch([doc_id, pa.array(total), pa.array(blank)], names=["doc_id", "n_lines", "n_blank"]))
+        null = doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.documents.append((doc_id.fill_null(0).to_numpy(zero_copy_only=False), null, total.astype(np.int64), blank.astype(np.int64)))
+
+    def document_rows(self, part: int, run: int) -> pa.RecordBatch:
+        """One row of all documents seen since the last one: ids, whether they are null, lines and blank lines, as arrays one after another."""
+        payload = b"".join(np.concatenate(x).astype("<i8").tobytes() for x in zip(*self.documents, strict=True))
+        self.documents.clear()
+        return pa.record_batch([pa.array([x], f.type) for x, f in zip((0, 0, _DOCUMENTS, part, run, payload), _LINES, strict=True)], schema=_LINES)
+
+    def count_rows(self, part: int) -> pa.RecordBatch:
+        """A row for each block of buckets that occur."""
+        blocks = self.tokens.reshape(-1, COUNT_BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        n = len(some)
+        columns = (np.zeros(n, np.int64), some.astype(np.int32), np.full(n, _COUNTS, np.int32), some.astype(np.int64), np.full(n, part, np.int64), [blocks[k].tobytes() for k in some.tolist()])
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], tally: _Tally | None = None) -> Iterator[pa.RecordBatch]:
@@ -163,40 +182,39 @@ def _line_rows(batches: Iterator[pa.RecordBatch], tally: _Tally | None = None) -
             yield pa.record_batch([pa.array(ids[a + owner[some]]), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(sketch.view(np.int64)), text], schema=_LINES)
 
 
-_PREPARED = pa.schema([*_LINES, ("block", pa.int32()), ("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_blank", pa.int64())])
-_PREPARED_DDL = f"{_LINES_DDL}, block int, doc_id long, n_lines long, n_blank long"
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lines; at times one of documents; and last the task's counts of tokens. Their keys are theirs alone."""
+    from pyspark import TaskContext
 
+    part, tally = TaskContext.get().partitionId(), _Tally()
+    for run, batch in enumerate(batches):
+        yield from _line_rows(iter([batch]), tally)
+        if tally.documents:
+            yield tally.document_rows(part, run)
+    yield tally.count_rows(part)
+    release()
 
-def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
-    own = {f.name: batch.column(f.name).cast(f.type) for f in _PREPARED if f.name in batch.schema.names}
-    return pa.record_batch([own.get(f.name, pa.nulls(batch.num_rows, f.type)) for f in _PREPARED], schema=_PREPARED)
 
+def classes(documents: DataFrame) -> DataFrame:
+    """(d, l, k, n, line): the first line of each distinct set of tokens. Rows of negative ``n`` are :func:`rarity`'s and :func:`counted`'s."""
+    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_first_rows, _LINES_DDL)
+    first = lines.groupBy("sig", "k", "n").agg(F.min(F.struct("d", "l", "line")).alias("first"))
+    return materialize(first.select("first.d", "first.l", "k", "n", "first.line"), "line-classes", compression="zstd")
 
-def _prepared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lines; at times rows of documents; and last the task's counts of tokens, in blocks."""
-    tally = _Tally()
-    for batch in batches:
-        for rows in _line_rows(iter([batch]), tally):
-            yield _padded(rows)
-        for rows in tally.documents:
-            yield _padded(rows)
-        tally.documents.clear()
-    blocks = tally.tokens.reshape(-1, COUNT_BLOCK)
-    some = np.flatnonzero(blocks.any(axis=1))
-    yield _padded(pa.record_batch([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some.tolist()], pa.large_binary())], names=["block", "line"]))
-    release()
 
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_blank", pa.int64())])
 
-def prepared_lines(documents: DataFrame) -> DataFrame:
-    """Texts read once: rows of lines with words, of documents (``n_lines`` isn't null) and of counted tokens (``block`` isn't null)."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prepared_rows, _PREPARED_DDL)
-    return materialize(rows, "line-rows", compression="zstd")
 
+def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column(0).to_pylist():
+            ids, null, total, blank = np.frombuffer(payload, "<i8").reshape(4, -1)
+            yield pa.record_batch([pa.array(ids, mask=null.astype(bool)), pa.array(total), pa.array(blank)], schema=_COUNTED)
 
-def classes(prepared: DataFrame) -> DataFrame:
-    """(d, l, k, n, line): the first line of each distinct set of tokens."""
-    first = prepared.where("n IS NOT NULL").groupBy("sig", "k", "n").agg(F.min(F.struct("d", "l", "line")).alias("first"))
-    return materialize(first.select("first.d", "first.l", "k", "n", "first.line"), "line-classes", compression="zstd")
+
+def counted(table: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_blank) of each row of documents."""
+    return table.where(F.col("n") == _DOCUMENTS).select("line").mapInArrow(_counted_rows, "doc_id long, n_lines long, n_blank long")
 
 
 _POSTINGS = pa.schema([("token", pa.int64()), ("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("wide", pa.list_(pa.int64()))])
@@ -254,21 +272,26 @@ def _posting_rows(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iter
             yield pa.record_batch([*(pa.array(c) for c in columns), wide], schema=_POSTINGS)
 
 
-_FIXED = (("token", np.int64), ("d", np.int64), ("k", np.int64), ("l", np.int32), ("n", np.int32), ("at", np.int32))
+_FIXED = (("token", np.uint32), ("d", np.int64), ("k", np.int64), ("l", np.int32), ("n", np.int32), ("at", np.int32))
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), ("payload", pa.binary())])
 _BLOCKS_DDL = "bucket int, m int, payload binary"
 
 
 def _posting_blocks(counts: np.ndarray, bits: int, flush: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings packed by the first ``bits`` of their token: arrays one after another, then sketches, whose widths follow from the sizes."""
+    """Postings packed by the first ``bits`` of their token: arrays one after another, then sketches, whose widths follow from the sizes.
+
+    Of an array's numbers all first bytes come first, then all second ones, and so on: most are zero and compress away. A token is its bucket
+    and its last 32 bits; two tokens that are one by these only meet in vain.
+    """
     held: list[pa.RecordBatch] = []
     total = 0
 
     def packed() -> Iterator[pa.RecordBatch]:
-        columns = {c: np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]).astype(t) for c, t in _FIXED}
+        columns = {c: np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c, _ in _FIXED}
         words, begin = _joined_sketches(held)
         held.clear()
         bucket = (columns["token"].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+        columns["token"] = columns["token"].astype(np.uint32)
         by = np.argsort(bucket, kind="stable")
         columns = {c: x[by] for c, x in columns.items()}
         width = np.diff(begin)[by]
@@ -280,7 +303,7 @@ def _posting_blocks(counts: np.ndarray, bits: int, flush: int, rows: int, batche
         ends = np.append(starts[1:], len(bucket))
         names, payloads = bucket[starts].astype(np.int32), []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            payloads.append(b"".join([columns[c][a:b].tobytes() for c, _ in _FIXED]) + words[upto[a] : upto[b]].tobytes())
+            payloads.append(b"".join([columns[c][a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for c, _ in _FIXED]) + words[upto[a] : upto[b]].tobytes())
         for k in range(0, len(payloads), 1 << 14):
             part = slice(k, k + (1 << 14))
             yield pa.record_batch([pa.array(names[part]), pa.array((ends - starts)[part].astype(np.int32)), pa.array(payloads[part], pa.binary())], schema=_BLOCKS)
@@ -308,19 +331,21 @@ def _joined_sketches(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(words), np.concatenate(begin)
 
 
-def _unpacked(m: int, payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _unpacked(bucket: int, m: int, payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     out, at = {}, 0
     for c, t in _FIXED:
-        out[c] = np.frombuffer(payload, t, m, at)
-        at += m * np.dtype(t).itemsize
+        size = np.dtype(t).itemsize
+        out[c] = np.frombuffer(payload, np.uint8, m * size, at).reshape(size, m).T.copy().view(t).ravel()
+        at += m * size
+    out["token"] = out["token"].astype(np.int64) | np.int64(bucket << 32)
     return out, np.frombuffer(payload, np.int64, -1, at)
 
 
 def _unpacked_rows(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the postings in blocks, those of wanted tokens if a sorted array is given."""
     for batch in batches:
-        for m, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            columns, words = _unpacked(m, payload)
+        for bucket, m, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns, words = _unpacked(bucket, m, payload)
             token = columns["token"]
             chosen = np.ones(m, bool) if wanted is None else (len(wanted) > 0) & (wanted[np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)] == token)
             if not chosen.any():
@@ -452,12 +477,12 @@ def _pair_blocks(limits: tuple[int, int, int], batches: Iterator[pa.RecordBatch]
         sketches.clear()
 
     for batch in batches:
-        for group, sharded, m, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for group, sharded, bucket, m, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group != last and total >= GROUPED:
                 yield from pairs()
                 total = 0
             last = group
-            columns, words = _unpacked(m, payload)
+            columns, words = _unpacked(bucket, m, payload)
             for c, x in columns.items():
                 # A token's lists in different pairs of shards stay apart.
                 held[c].append(x ^ np.int64(group) if sharded and c == "token" else x)
@@ -546,16 +571,16 @@ def _blocks(table: DataFrame, counts) -> tuple[DataFrame, int]:
 
 
 def _grouped(blocks: DataFrame, hot: int) -> DataFrame:
-    """(group, sharded, m, payload): blocks by bucket; those of hot buckets once for each pair of shards that theirs is in."""
+    """(group, sharded, bucket, m, payload): blocks by bucket; those of hot buckets once for each pair of shards that theirs is in."""
     sizes = blocks.groupBy("bucket").agg(F.sum("m").alias("n")).where(F.col("n") > hot)
     large = materialize(sizes.select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("shards")), "line-hot")
     if large.isEmpty():
-        return blocks.select(F.col("bucket").cast("long").alias("group"), F.lit(False).alias("sharded"), "m", "payload")
+        return blocks.select(F.col("bucket").cast("long").alias("group"), F.lit(False).alias("sharded"), "bucket", "m", "payload")
     rows = blocks.join(small(large), "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     own = F.pmod(F.xxhash64("m", F.substring("payload", 1, 256)), F.col("shards")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     group = F.when(F.col("shards") == 1, F.col("bucket").cast("long")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    return rows.select(group.alias("group"), (F.col("shards") > 1).alias("sharded"), "m", "payload")
+    return rows.select(group.alias("group"), (F.col("shards") > 1).alias("sharded"), "bucket", "m", "payload")
 
 
 def _met(postings: DataFrame, everything: bool, hot: int) -> DataFrame:
@@ -575,7 +600,7 @@ def matched_classes(table: DataFrame, counts, hot: int = HOT, limits: tuple[int,
     ``limits`` are the sizes of lists and blocks in the first pass; beyond ``sent`` tokens, those of open classes are joined, not sent.
     """
     keys = ["d", "l", "k"]
-    blocks, _ = _blocks(table, counts)
+    blocks, bits = _blocks(table, counts)
     grouped = _grouped(blocks, hot).repartition("group").sortWithinPartitions("group")
     pairs = materialize(grouped.mapInArrow(lambda batches: _pair_blocks(limits, batches), _PAIRS_DDL), "line-pairs")
     distinct = pairs.select("d1", "l1", "k1", "d2", "l2", "k2").distinct()
@@ -585,7 +610,9 @@ def matched_classes(table: DataFrame, counts, hot: int = HOT, limits: tuple[int,
     if open_.isEmpty():
         return found
     probes = _matchable(table.join(open_, keys, "left_semi")).mapInArrow(lambda batches: _posting_rows(counts.value, batches), _POSTINGS_DDL)
-    tokens = materialize(probes.select("token").distinct(), "line-tokens")
+    # What tells a token in blocks: its bucket and its last 32 bits.
+    code = F.shiftleft(F.shiftrightunsigned("token", 64 - bits), 32).bitwiseOR(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)))
+    tokens = materialize(probes.select(code.alias("token")).distinct(), "line-tokens")
     if tokens.count() <= sent:
         wanted = table.sparkSession.sparkContext.broadcast(np.sort(np.array([r["token"] for r in tokens.toLocalIterator()], np.int64)))
         near = blocks.mapInArrow(lambda batches: _unpacked_rows(wanted.value, batches), _POSTINGS_DDL)
@@ -596,26 +623,24 @@ def matched_classes(table: DataFrame, counts, hot: int = HOT, limits: tuple[int,
     return found.unionByName(_verified(rest, table))
 
 
-def kept_lines(prepared: DataFrame) -> DataFrame:
-    """(d, kept): numbers, from 0, of the lines with words that stay, of each document that has some."""
-    table = classes(prepared)
-    gone = matched_classes(table, prepared.sparkSession.sparkContext.broadcast(rarity(prepared)))
-    stay = table.select("d", "l", "k").join(gone, ["d", "l", "k"], "left_anti")
+def kept_lines(table: DataFrame) -> DataFrame:
+    """(d, kept): numbers, from 0, of the lines with words that stay, of each document that has some; from :func:`classes`."""
+    gone = matched_classes(table, table.sparkSession.sparkContext.broadcast(rarity(table)))
+    stay = table.where("n > 0").select("d", "l", "k").join(gone, ["d", "l", "k"], "left_anti")
     return stay.groupBy("d").agg(F.array_sort(F.collect_set("l")).alias("kept"))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_blank, n_kept, kept): how many lines a document has, how many have no words, and which of the others stay."""
-    prepared = prepared_lines(documents)
-    counted = prepared.where("n_lines IS NOT NULL").select("doc_id", "n_lines", "n_blank")
-    rows = counted.withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID))).join(kept_lines(prepared), "d", "left")
+    table = classes(documents)
+    rows = counted(table).withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID))).join(kept_lines(table), "d", "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", "n_blank", F.size(kept).cast("long").alias("n_kept"), F.array_join(kept.cast("array<string>"), ",").alias("kept"))
 
 
 def remove_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents, all columns kept, with the lines gone that an earlier line matches; lines without words stay."""
-    kept = kept_lines(prepared_lines(documents)).withColumnRenamed("d", "_d").withColumnRenamed("kept", "_kept")
+    kept = kept_lines(classes(documents)).withColumnRenamed("d", "_d").withColumnRenamed("kept", "_kept")
     rows = documents.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(kept, "_d", "left")
     stays = lambda line, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | ~line.rlike(r"[^\x20\x09-\x0D]")
     text = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n"))
