@@ -9,7 +9,7 @@ number, matches it. Lines of equal sets are one class, and only classes are join
     indexed by the token's hash; any order that all lines share gives right results, and a rare-first one short lists;
   * matching sets share a token of their prefixes (a shorter one for the smaller set), so classes meet by prefix token; length and
     positional filters, and a parity sketch that bounds the symmetric difference, leave few pairs. A sketch has 64 bits, and
-    twice as many for each doubling of a set over 64 tokens; a wide one folds into a narrow one;
+    twice as many for each doubling of a set over 96 tokens; a wide one folds into a narrow one;
   * prefix tokens travel in packed blocks, a row for a bucket of tokens, not a row for each token. A bucket with more than ``HOT`` entries, known
     from the stored blocks, is split in shards that meet pair by pair; tasks hold a bucket or a pair of shards at a time;
   * each class first has its nearest pairs verified on the words themselves. Classes that have more pairs and
@@ -49,7 +49,7 @@ SENT_TOKENS = 1_000_000
 LARGE, BLOCK, STEP = 2048, 512, 2048
 PAIRS = 1 << 20
 #: Postings of about so many go to a bucket; a worker packs so many at a time, in rows of at most so many; groups are joined up to so many.
-PER_BUCKET, FLUSH, PER_ROW, GROUPED = 8192, 1 << 19, 4096, 1 << 16
+PER_BUCKET, FLUSH, PER_ROW, GROUPED = 16_384, 1 << 20, 4096, 1 << 16
 
 #: The place of documents without an id: before all others.
 _NO_ID = -(1 << 63)
@@ -219,13 +219,13 @@ def counted(table: DataFrame) -> DataFrame:
 
 _POSTINGS = pa.schema([("token", pa.int64()), ("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("wide", pa.list_(pa.int64()))])
 _POSTINGS_DDL = "token long, d long, l int, k long, n int, at int, wide array<long>"
-#: Sketches double at most so often.
-LEVELS = 5
+#: Sets of no more tokens have a sketch of 64 bits; sketches double at most so often.
+NARROW, LEVELS = 96, 5
 
 
 def _level(n: np.ndarray) -> np.ndarray:
     """How often the sketch of a set of n tokens is doubled."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 64) / 64)), 0, LEVELS).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(n, NARROW) / NARROW)), 0, LEVELS).astype(np.int64)
 
 
 def _wide_sketches(h: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,18 +342,32 @@ def _unpacked(bucket: int, m: int, payload: bytes) -> tuple[dict[str, np.ndarray
 
 
 def _unpacked_rows(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the postings in blocks, those of wanted tokens if a sorted array is given."""
+    """Rows of the postings in blocks, those of wanted tokens if a sorted array is given: of a block, first its tokens are looked at."""
+    fields = [f.name for f in _POSTINGS if f.name != "wide"]
     for batch in batches:
+        held: list[list[np.ndarray]] = [[] for _ in fields]
+        widths, flat = [], []
         for bucket, m, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            chosen = np.ones(m, bool)
+            if wanted is not None:
+                low, high = np.searchsorted(wanted, (bucket << 32, (bucket + 1) << 32))
+                if low == high:
+                    continue
+                token = np.frombuffer(payload, np.uint8, 4 * m).reshape(4, m).T.copy().view(np.uint32).ravel()
+                chosen = np.isin(token, wanted[low:high].astype(np.uint32))
+                if not chosen.any():
+                    continue
             columns, words = _unpacked(bucket, m, payload)
-            token = columns["token"]
-            chosen = np.ones(m, bool) if wanted is None else (len(wanted) > 0) & (wanted[np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)] == token)
-            if not chosen.any():
-                continue
             width = np.where((level := _level(columns["n"])) > 0, 1 << level, 0)
-            edges = np.concatenate([[0], np.cumsum(width[chosen])])
-            wide = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(words[np.repeat(chosen, width)]))
-            yield pa.record_batch([*(pa.array(columns[f.name][chosen]) for f in _POSTINGS if f.name != "wide"), wide], schema=_POSTINGS)
+            widths.append(width[chosen])
+            flat.append(words[np.repeat(chosen, width)])
+            for own, c in zip(held, fields, strict=True):
+                own.append(columns[c][chosen])
+        if widths:
+            edges = np.concatenate([[0], np.cumsum(np.concatenate(widths))])
+            wide = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(flat)))
+            yield pa.record_batch([*(pa.array(np.concatenate(x)) for x in held), wide], schema=_POSTINGS)
+    release()
 
 
 _PAIRS = pa.schema([*((f"{c}{i}", t) for i in (1, 2) for c, t in (("d", pa.int64()), ("l", pa.int32()), ("k", pa.int64()))), ("more", pa.bool_())])
