@@ -65,7 +65,7 @@ def test_loose_formats_are_found_and_decoys_are_not(spark, corpus, learned):
         at, own = at if at >= 0 else len(t), form()
         rows.append((len(rows), f"{t[:at]} {own} {t[at:].lstrip()}"))
         want.append((kind, f"{kind}:{at + 1}:{at + 1 + len(own)}"))
-    scanned = pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    scanned = pii.materialize(pii.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "t")
     got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in scanned.select("doc_id", pii.written(pii._added(learned)).alias("spans")).collect()}
     found = [span in got[i] for i, (kind, span) in enumerate(want) if kind]
     assert sum(found) >= 0.9 * len(found)
@@ -88,7 +88,7 @@ def test_scores_are_the_trees_sums(spark, corpus, learned):
 
 def test_luhn_failing_numbers_of_the_corpus_stay(corpus, learned):
     """Sixteen digits that fail the check are no card, whatever stands around them."""
-    added = pii.scan(corpus).select("doc_id", pii._added(learned).alias("added")).where("size(added) > 0")
+    added = pii.materialize(pii.scan(corpus), "t").select("doc_id", pii._added(learned).alias("added")).where("size(added) > 0")
     for r in added.join(corpus.select("doc_id", "text"), "doc_id").collect():
         for s in r.added:
             assert not re.fullmatch("[0-9]{16}", r.text[s["start"] : s["end"]])
