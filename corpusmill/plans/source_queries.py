@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrays
+from corpusmill.functions import text as tx
 from corpusmill.operators import logs, sampling, tokenizer
 from corpusmill.plans.registry import Tables, query
 from corpusmill.sources import documents as src
@@ -95,7 +96,7 @@ def notebook_text(t: Tables):
 @query("SELECT item_id, upper(left(text, 5)) || chr(10) || chr(10) || 'Methods: ' || text || chr(10) || text AS text FROM benchmark")
 def paper_text(t: Tables):
     section = lambda label: F.struct(F.lit(label).cast("string").alias("label"), F.col("text").alias("body"))
-    return t.benchmark.select("item_id", src.paper_text(F.upper(F.left("text", F.lit(5))), F.array(section("METHODS"), section(None))).alias("text"))
+    return t.benchmark.select("item_id", src.paper_text(tx.upper(F.left("text", F.lit(5))), F.array(section("METHODS"), section(None))).alias("text"))
 
 
 @query()
