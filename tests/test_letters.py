@@ -29,6 +29,6 @@ def test_paper_text(spark, tmp_path):
 TURNS = [(c, turn, role, text) for c, answer in ((2, "ß" * 1000), (4, "ß" * 1490), (6, "plain answer"), (8, "Größe ﬁn")) for turn, role, text in ((1, "user", f"question {c}"), (2, "assistant", answer))]
 
 
-@pytest.mark.parametrize("name", ["sft_reasons"])
+@pytest.mark.parametrize("name", ["sft_reasons", "sft_reason_counts"])
 def test_instruction_reasons(spark, tmp_path, name):
     agrees(spark, tmp_path, "conversations", TURNS, "conv_id long, turn int, role string, text string", name)
