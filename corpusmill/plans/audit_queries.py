@@ -81,7 +81,7 @@ def reconciliation(t: Tables):
     SELECT a.term AS a, b.term AS b, count(*) AS docs FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL""")
 def term_cooccurrence(t: Tables):
     """Documents that hold both terms of a pair; a document holds at most eight terms."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:the|and|for|der|und|les|des|los)\b"), F.lit(0)))
+    terms = F.array_distinct(tx.ascii_words("text", ["the", "and", "for", "der", "und", "les", "des", "los"]))
     rows = t.documents.select(F.array_sort(terms).alias("w"))
     pairs = rows.select(F.explode("w").alias("a"), "w").select("a", F.explode("w").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"))

@@ -32,3 +32,11 @@ TURNS = [(c, turn, role, text) for c, answer in ((2, "ß" * 1000), (4, "ß" * 14
 @pytest.mark.parametrize("name", ["sft_reasons", "sft_reason_counts"])
 def test_instruction_reasons(spark, tmp_path, name):
     agrees(spark, tmp_path, "conversations", TURNS, "conv_id long, turn int, role string, text string", name)
+
+
+WORDS = ["the and", "éles des", "desé the", "lesñ und", "leś des", "THE_ the", "2der der", "Und DİE der die", "lasß", "für for the and der die", "von und zu", "", None]
+
+
+@pytest.mark.parametrize("name", ["term_cooccurrence"])
+def test_terms_between_letters_beyond_ascii(spark, tmp_path, name):
+    agrees(spark, tmp_path, "documents", list(enumerate(WORDS)), "doc_id long, text string", name)
