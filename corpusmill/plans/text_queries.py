@@ -453,7 +453,7 @@ def special_characters(t: Tables):
     SELECT CASE WHEN k >= 3 THEN 'three' WHEN k >= 1 THEN 'one' ELSE 'none' END AS terms, count(*) AS docs
     FROM (SELECT len(list_distinct(regexp_extract_all(lower(text), '\\b(?:the|and|der|die|les|des|los|las)\\b'))) AS k FROM documents) GROUP BY 1""")
 def topic_term_buckets(t: Tables):
-    k = F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:the|and|der|die|les|des|los|las)\b"), F.lit(0))))
+    k = F.size(F.array_distinct(tx.ascii_words("text", ["the", "and", "der", "die", "les", "des", "los", "las"])))
     return t.documents.groupBy(F.when(k >= 3, "three").when(k >= 1, "one").otherwise("none").alias("terms")).agg(F.count(F.lit(1)).alias("docs"))
 
 

@@ -37,6 +37,6 @@ def test_instruction_reasons(spark, tmp_path, name):
 WORDS = ["the and", "éles des", "desé the", "lesñ und", "leś des", "THE_ the", "2der der", "Und DİE der die", "lasß", "für for the and der die", "von und zu", "", None]
 
 
-@pytest.mark.parametrize("name", ["term_cooccurrence"])
+@pytest.mark.parametrize("name", ["term_cooccurrence", "topic_term_buckets"])
 def test_terms_between_letters_beyond_ascii(spark, tmp_path, name):
     agrees(spark, tmp_path, "documents", list(enumerate(WORDS)), "doc_id long, text string", name)
