@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ PAIRS = 1 << 20
 #: Postings of about so many go to a bucket; a worker packs so many at a time, in rows of at most so many; groups are joined up to so many.
 PER_BUCKET, FLUSH, PER_ROW, GROUPED = 16_384, 1 << 20, 4096, 1 << 16
 
+#: Bits for each end of a pair, in the table that tells which classes have one, and the number of bits of its greatest index (32 MB).
+ENDS_ROOM, ENDS_BITS = 16, 28
+
 #: The place of documents without an id: before all others.
 _NO_ID = -(1 << 63)
 
@@ -558,11 +562,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([c.filter(mask) for c in batch.columns[2:]], names=["d", "l", "k"])
 
 
+def _paired(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """(d, l, k, line) of the classes that occur in pairs, and of few others: lines of classes without a pair needn't travel to be compared.
+
+    A bit table of at most ``ENDS_BITS`` bits, indexed by the hash of a class's keys, tells them; what it lets pass in vain, joins drop.
+    """
+    ends = pairs.select(F.explode(F.array(*[F.xxhash64(f"d{i}", f"l{i}", f"k{i}") for i in (1, 2)])).alias("h"))
+    bits = min(max((ends.count() * ENDS_ROOM).bit_length(), 15), ENDS_BITS)
+    place = ends.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
+    blocks = place.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(0x7FFF))).alias("bits"))
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    for r in blocks.collect():
+        found[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    sent = table.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def occurs(h: pd.Series) -> pd.Series:
+        at = h.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return table.where("n > 0").where(occurs(F.xxhash64("d", "l", "k"))).select("d", "l", "k", "line")
+
+
 def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """(d, l, k) of the classes that have a match among their pairs."""
     keys = ("d", "l", "k")
-    ends = pairs.select(*[F.col(f"{c}1").alias(c) for c in keys]).unionByName(pairs.select(*[F.col(f"{c}2").alias(c) for c in keys])).distinct()
-    texts = table.select(*keys, "line").join(ends, list(keys), "left_semi")
+    texts = _paired(pairs, table)
     for i in (1, 2):
         pairs = pairs.join(texts.select(*[F.col(c).alias(f"{c}{i}") for c in keys], F.col("line").alias(f"line{i}")), [f"{c}{i}" for c in keys])
     rows = pairs.select("line1", "line2", *[F.col(f"{c}1").alias(c) for c in keys])
