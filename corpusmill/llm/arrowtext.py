@@ -12,13 +12,10 @@ from pyspark.sql import DataFrame
 #: Texts are scanned in runs of about so many bytes: temporary arrays stay in cache and memory stays bounded.
 RUN_BYTES = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """A-Z become a-z; all other bytes stay."""
-    return _LOWER[buf]
+    return buf + ((buf - np.uint8(65) < 26).view(np.uint8) << 5)
 
 
 def runs(column: pa.Array, run_bytes: int = RUN_BYTES, run_texts: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -58,14 +58,16 @@ ENDS_ROOM, ENDS_BITS = 16, 28
 #: The place of documents without an id: before all others.
 _NO_ID = -(1 << 63)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+def _is_word(buf: np.ndarray) -> np.ndarray:
+    """A flag for each byte that isn't a space or one of the bytes 9 to 13."""
+    return (buf != 32) & (buf - np.uint8(9) > 4)
 
 
 def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple:
     """Distinct tokens of each line, and the lines: (token hash, line) pairs sorted by line, line starts and ends, their text and number."""
     low = lower_ascii(buf)
-    starts, ends, _ = word_spans(~_SPACE[low], offsets)
+    starts, ends, _ = word_spans(_is_word(low), offsets)
     newlines = np.flatnonzero(buf == 10)
     # Line edges: each text's begin, and behind each newline; a text has a line more than newlines.
     line_start = np.sort(np.concatenate([offsets[:-1], newlines + 1]), kind="stable")
@@ -91,7 +93,17 @@ def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple:
 def _by_line(line: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The order by line, then by a number of each token: a single sort where both fit 64 bits."""
     bits = max(int(line[-1]).bit_length() if len(line) else 0, 1)
-    return np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)), kind="stable")
+    return np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+
+
+def _rare_first(line: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The order by line, then by count; what is equal stays in its order. Where all three fit 64 bits, numbers that end in their place are sorted, not places."""
+    n = len(line)
+    bits = [max(int(x).bit_length(), 1) for x in ((line[-1], count.max(), n - 1) if n else (0, 0, 0))]
+    if sum(bits) > 64:
+        return np.lexsort((count, line))
+    key = (line.astype(np.uint64) << np.uint64(bits[1])) | count.astype(np.uint64)
+    return (np.sort((key << np.uint64(bits[2])) | np.arange(n, dtype=np.uint64)) & np.uint64((1 << bits[2]) - 1)).astype(np.int64)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -252,7 +264,7 @@ def _posting_rows(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iter
     for batch in batches:
         for a, b, buf, offsets in runs(batch.column(4)):
             low = lower_ascii(buf)
-            starts, ends, _ = word_spans(~_SPACE[low], offsets)
+            starts, ends, _ = word_spans(_is_word(low), offsets)
             line = np.searchsorted(offsets, starts, side="right") - 1
             h = RollingHash(low).of(starts, ends)
             by = _by_line(line, h)
@@ -261,7 +273,7 @@ def _posting_rows(counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iter
             new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
             h, line = h[new], line[new]
             # Rare first; tokens of equal counts in the order of their hashes, which all lines share.
-            rank = np.lexsort((h, counts[_bucket(h)], line))
+            rank = _rare_first(line, counts[_bucket(h)])
             n = np.bincount(line, minlength=b - a)
             size = np.where(n > 0, prefix_size(n), 0)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -345,22 +357,33 @@ def _unpacked(bucket: int, m: int, payload: bytes) -> tuple[dict[str, np.ndarray
     return out, np.frombuffer(payload, np.int64, -1, at)
 
 
+def _chosen(wanted: np.ndarray | None, batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(bucket, rows, payload, flags of the wanted rows) of the blocks that have some; tokens of all blocks of a batch are looked up together."""
+    buckets, sizes, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    if wanted is None:
+        yield from zip(buckets, sizes, payloads, (np.ones(m, bool) for m in sizes), strict=True)
+        return
+    first = np.array(buckets, np.int64) << 32
+    low, high = np.searchsorted(wanted, first), np.searchsorted(wanted, first + (1 << 32))
+    some = np.flatnonzero(low < high).tolist()
+    if not some:
+        return
+    own = [np.frombuffer(payloads[i], np.uint8, 4 * sizes[i]).reshape(4, -1).T.copy().view(np.uint32).ravel() for i in some]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    tokens = np.concatenate(own).astype(np.int64) | np.repeat(first[some], np.diff(edges))
+    flags = wanted[np.minimum(np.searchsorted(wanted, tokens), len(wanted) - 1)] == tokens
+    for i, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if flags[a:b].any():
+            yield buckets[i], sizes[i], payloads[i], flags[a:b]
+
+
 def _unpacked_rows(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the postings in blocks, those of wanted tokens if a sorted array is given: of a block, first its tokens are looked at."""
     fields = [f.name for f in _POSTINGS if f.name != "wide"]
     for batch in batches:
         held: list[list[np.ndarray]] = [[] for _ in fields]
         widths, flat = [], []
-        for bucket, m, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            chosen = np.ones(m, bool)
-            if wanted is not None:
-                low, high = np.searchsorted(wanted, (bucket << 32, (bucket + 1) << 32))
-                if low == high:
-                    continue
-                token = np.frombuffer(payload, np.uint8, 4 * m).reshape(4, m).T.copy().view(np.uint32).ravel()
-                chosen = np.isin(token, wanted[low:high].astype(np.uint32))
-                if not chosen.any():
-                    continue
+        for bucket, m, payload, chosen in _chosen(wanted, batch):
             columns, words = _unpacked(bucket, m, payload)
             width = np.where((level := _level(columns["n"])) > 0, 1 << level, 0)
             widths.append(width[chosen])

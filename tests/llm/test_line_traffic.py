@@ -2,7 +2,9 @@
 
 import hashlib
 
-from corpusmill.llm import linededup
+import numpy as np
+
+from corpusmill.llm import arrowtext, linededup
 from corpusmill.scratch import materialize
 
 
@@ -34,3 +36,13 @@ def test_lines_without_a_pair_stay_where_they_are(spark):
     ends = {(r["d1"], r["l1"], r["k1"]) for r in pairs.collect()} | {(r["d2"], r["l2"], r["k2"]) for r in pairs.collect()}
     passed = {(r["d"], r["l"], r["k"]) for r in linededup._paired(pairs, table).collect()}
     assert ends & {(r[0], r[1], r[2]) for r in rows} <= passed and len(passed) < 600
+
+
+def test_orders_and_bytes_by_faster_ways():
+    rng = np.random.default_rng(3)
+    for n, lines, most in ((0, 1, 1), (1, 1, 1), (5000, 40, 3), (5000, 40, (1 << 32) - 1), (70_000, 1 << 19, (1 << 32) - 1)):
+        line, count = np.sort(rng.integers(0, lines, n)), rng.integers(0, most, n, endpoint=True).astype(np.uint32)
+        assert (linededup._rare_first(line, count) == np.lexsort((np.arange(n), count, line))).all()
+    every = np.arange(256, dtype=np.uint8)
+    assert arrowtext.lower_ascii(every).tobytes() == bytes(range(256)).lower()
+    assert bytes(every[~linededup._is_word(every)]) == b"\t\n\x0b\x0c\r "
