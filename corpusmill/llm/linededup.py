@@ -610,7 +610,7 @@ def _paired(pairs: DataFrame, table: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """(d, l, k) of the classes that have a match among their pairs."""
     keys = ("d", "l", "k")
-    texts = _paired(pairs, table)
+    texts = materialize(_paired(pairs, table), "line-ends", compression="zstd")  # stored: both ends of pairs are joined with it, and the scan is the greater work
     for i in (1, 2):
         pairs = pairs.join(texts.select(*[F.col(c).alias(f"{c}{i}") for c in keys], F.col("line").alias(f"line{i}")), [f"{c}{i}" for c in keys])
     rows = pairs.select("line1", "line2", *[F.col(f"{c}1").alias(c) for c in keys])
