@@ -3,7 +3,8 @@
 Texts are encoded by a tokenizer file of the ``tokenizers`` library. A text is cut where the
 tokenizer's own pattern always cuts (at ASCII white space, and between ASCII letters, digits and
 punctuation), each distinct piece is encoded once per task while a memory of ``MEMORY_BYTES``
-lasts, and the ids are put together with numpy. The memory goes when the task ends. The pieces' ids equal the whole text's; a text
+lasts, and the ids are put together with numpy. Words of plain small letters go to the tokenizer's
+model alone, as its normalizer and pattern don't change them. The memory goes when the task ends. The pieces' ids equal the whole text's; a text
 that holds the string of an added token is encoded whole.
 
 Files hold the documents in ascending doc_id order: file k's documents precede file k + 1's, and rows
@@ -18,7 +19,10 @@ Defined results:
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,7 +49,25 @@ DOCS_PER_FILE = 16_384
 #: The files' totals are sent to all executors while there are no more files; beyond, they are joined by file.
 BROADCAST_FILES = 1_000_000
 #: Bytes that are cut and looked up together.
-RUN = 1 << 20
+RUN = 2 << 20
+
+#: Words that are encoded together.
+WORDS = 2000
+#: What the light tokenizer relies on: letters that the normalizer leaves as they are and the pattern takes as one piece, given to the model as bytes.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: a-z and the small letters of Latin-1: composed, lower case, and no two of them combine.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> str:
+    """The character that stands for each byte in byte-level vocabularies; the space stays, as it parts words here."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return "".join(" " if b == 32 and next(other) else chr(b) if b in shown else chr(next(other)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
 
 _SPACE, _LETTER, _DIGIT, _PUNCT, _QUOTE, _OTHER = range(6)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -74,10 +96,26 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max([*vocab.values(), *added, 0]) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.light = self._light()
         self.known: dict[bytes, bytes] = {}  # a piece's ids, as 32-bit integers
         self.older: dict[bytes, bytes] = {}
         self.held = 0
 
+    def _light(self):
+        """The same model for plain words between spaces, without the normalizer and the pattern, which leave such words as they are; None for a tokenizer of another form."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        whole = self.tokenizer
+        form = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        split, *rest = form(whole.pre_tokenizer).get("pretokenizers") or [{}]
+        pattern = split.get("type") == "Split" and split.get("pattern") == {"Regex": _PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        byte_level = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex", True)
+        if form(whole.normalizer).get("normalizers") != _NORMALIZERS or not pattern or not byte_level or not isinstance(whole.model, models.BPE) or whole.truncation or whole.padding:
+            return None
+        light = Tokenizer(whole.model)  # the model is shared, not copied
+        light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return light
+
     def forget(self) -> None:
         """Frees the memory of pieces."""
         self.known, self.older, self.held = {}, {}, 0
@@ -89,19 +127,25 @@ class Encoder:
         """Ids of new pieces: of those of letters alone many at a time, as their last token tells where each ends."""
         texts = b" ".join(pieces).decode("utf-8", "replace").split(" ") if pieces else []
         out: list[bytes | None] = [None] * len(pieces)
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for k in range(0, len(letters), 500):
-            part = letters[k : k + 500]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, np.int32)
-            ends = 4 * np.flatnonzero(self.ends_word[ids]) + 4
-            if len(ends) == len(part):
-                raw, low = ids.tobytes(), 0
-                for i, high in zip(part, ends.tolist(), strict=True):
-                    out[i] = raw[low:high]
-                    low = high
-            else:
-                rest += part
+        plain, letters, rest = [], [], []
+        for i, t in enumerate(texts):
+            (plain if self.light and _PLAIN.fullmatch(t) else letters if t.isalpha() else rest).append(i)
+        for some, tokenizer in ((plain, self.light), (letters, self.tokenizer)):
+            for k in range(0, len(some), WORDS):
+                part = some[k : k + WORDS]
+                if tokenizer is self.light:
+                    joined = codecs.charmap_decode(b" ".join([pieces[i] for i in part]), "strict", _BYTE_LETTERS)[0]
+                else:
+                    joined = " ".join([texts[i] for i in part])
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+                ends = 4 * np.flatnonzero(self.ends_word[ids]) + 4
+                if len(ends) == len(part):
+                    raw, low = ids.tobytes(), 0
+                    for i, high in zip(part, ends.tolist(), strict=True):
+                        out[i] = raw[low:high]
+                        low = high
+                else:
+                    rest += part
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("i", e.ids).tobytes()
         return out
@@ -133,11 +177,11 @@ class Encoder:
             begins[offsets[:-1]] = True
         begins[-1] = False
         begins[:-1] &= solid
-        place = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(solid, out=place[1:])
+        place = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(solid, dtype=np.int32, out=place[1:])
         starts = np.flatnonzero(begins)
         compact = low[solid]
-        where = np.append(place[starts], len(compact)).astype(np.int32)
+        where = np.append(place[starts], np.int32(len(compact)))
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(compact)]).dictionary_encode()
         distinct = self._ids_of(pieces.dictionary.to_pylist())
         sizes = np.array([len(x) // 4 for x in distinct], np.int64)
